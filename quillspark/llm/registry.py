@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe
+from quillspark.llm import bpe, secrets
 
 
 def queries() -> dict:
     return {
         "op4_byte_bpe": bpe.op4_byte_bpe,
+        "op7_secret_scan": secrets.op7_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_secret_scan": secrets.op7_sql(),
+    }
