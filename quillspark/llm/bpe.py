@@ -24,7 +24,7 @@ from quillspark.llm.base import table, text_rows
 #: Words of more bytes than this are contracted at every safe place in one step, not only at the leftmost.
 LONG_WORD = 64
 #: Words for one recursive query, bytes of text for one batch, and words that are remembered.
-CHUNK_WORDS, BATCH_BYTES, KEPT_WORDS = 30_000, 4_000_000, 250_000
+CHUNK_WORDS, BATCH_BYTES, KEPT_WORDS = 30_000, 4_000_000, 600_000
 
 _NEXT = "lead(pos) OVER (PARTITION BY w ORDER BY pos) AS np, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nt"
 
@@ -70,11 +70,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-@lru_cache(maxsize=2)
-def ranks_at(path: str) -> dict[bytes, int]:
-    return load_ranks(path)
-
-
 class WordEncoder:
     """Ids and decoded bytes of words, by DuckDB; remembers a bounded number of words."""
 
@@ -106,7 +101,8 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.flat = np.zeros(0, np.uint32)
+        self.sizes = np.zeros(0, np.int64)
         self.decoded: list[bytes] = []
 
     def _run(self, sql: str, words: list[bytes]) -> list[np.ndarray]:
@@ -139,6 +135,7 @@ class WordEncoder:
     def learn(self, words: set[str]) -> None:
         """Encodes those words that aren't known yet."""
         new = [w for w in words if w not in self.known]
+        self.new: list[np.ndarray] = []
         by_length = sorted((w.encode() for w in new), key=len)
         texts = {b: b.decode() for b in by_length}
         whole = [b for b in by_length if b in self.ranks]
@@ -150,14 +147,17 @@ class WordEncoder:
             self._keep(part, self._run(_ENCODE, part), texts)
         for b in rest[len(short) :]:
             self._keep([b], [self._run_long(b)], texts)
+        if self.new:
+            self.flat = np.concatenate([self.flat, *self.new])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, self.new), np.int64, len(self.new))])
+            self.new = []
 
     def _keep(self, words: list[bytes], ids: list[np.ndarray], texts: dict[bytes, str]) -> None:
         for i in range(0, len(words), CHUNK_WORDS):
             part = ids[i : i + CHUNK_WORDS]
-            for b, x, back in zip(words[i : i + CHUNK_WORDS], part, self._decode(part), strict=True):
-                self.known[texts[b]] = len(self.ids)
-                self.ids.append(x)
-                self.decoded.append(back)
+            self.known.update(zip(map(texts.__getitem__, words[i : i + CHUNK_WORDS]), range(len(self.decoded), len(self.decoded) + len(part)), strict=True))
+            self.new += part
+            self.decoded += self._decode(part)
 
     def encode(self, pieces: list[list[str]]) -> Iterator[tuple[np.ndarray, bytes]]:
         """Ids and decoded bytes of each text, given as its list of words."""
@@ -167,9 +167,8 @@ class WordEncoder:
         if len(self.known) + len(distinct) > KEPT_WORDS:
             self.forget()
         self.learn(distinct)
-        sizes = np.array([len(x) for x in self.ids], dtype=np.int64)
+        sizes, flat = self.sizes, self.flat
         starts = np.cumsum(sizes) - sizes
-        flat = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
         for p in pieces:
             at = np.fromiter(map(self.known.__getitem__, p), np.int64, len(p))
             n = sizes[at]
@@ -178,6 +177,12 @@ class WordEncoder:
             yield flat[np.arange(total) + np.repeat(starts[at] - (ends - n), n)], b"".join(map(self.decoded.__getitem__, at.tolist()))
 
 
+@lru_cache(maxsize=1)
+def encoder_at(path: str) -> WordEncoder:
+    """One for each worker process, so that its tasks share the words that are known."""
+    return WordEncoder(load_ranks(path))
+
+
 def batches(rows: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts, by about as many bytes at once."""
     ids, texts, size = [], [], 0
@@ -203,9 +208,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        split, encoder = regex.compile(pattern), None
+        split, encoder = regex.compile(pattern), encoder_at(ranks_path)
         for ids, texts in batches(rows):
-            encoder = encoder or WordEncoder(ranks_at(ranks_path))
             tokens, back = [], []
             for x, d in encoder.encode([split.findall(t) for t in texts]):
                 tokens.append(x.astype("<u4").tobytes()), back.append(d)
@@ -221,9 +225,8 @@ def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     def digest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        split, encoder = regex.compile(pattern), None
+        split, encoder = regex.compile(pattern), encoder_at(ranks_path)
         for ids, texts in batches(rows):
-            encoder = encoder or WordEncoder(ranks_at(ranks_path))
             n, a, b = [], [], []
             for x, d in encoder.encode([split.findall(t) for t in texts]):
                 n.append(len(x)), a.append(hashlib.sha256(x.astype("<u4").tobytes()).hexdigest()), b.append(hashlib.sha256(d).hexdigest())
