@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, secrets
+from quillspark.llm import bpe, jaccard, secrets
 
 
 def queries() -> dict:
     return {
+        "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op7_secret_scan": secrets.op7_secret_scan,
     }
