@@ -27,8 +27,9 @@ from quillspark.llm.base import spool, table
 
 #: The training sample: so many labelled documents at most, the first by a hash of the id, of so many characters at most.
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000
-#: Words that speak for toxicity: so many at most, in so many of the sample's toxic documents at least, so many times as often.
-WORDS, LEAST_DOCS, LEAST_ODDS = 2000, 3, 6.0
+#: Words that speak for toxicity: so many at most, in so many of the sample's toxic documents at least, surely (lower bound at
+#: so many standard errors) so many times as often as in others.
+WORDS, LEAST_DOCS, LEAST_ODDS, ERRORS = 2000, 3, 6.0, 1.64
 
 _STRIP = {c: " " for c in range(0x21, 0x7F) if not chr(c).isalnum()}
 _PUNCT = [c for c in range(0x21, 0x7F) if not chr(c).isalnum()]
@@ -98,9 +99,9 @@ class Model:
             if x:
                 bad.update(own)
         n, m = max(1, len(texts) - sum(toxic)), max(1, sum(toxic))
-        odds = {w: ((k + 0.1) / m) / ((docs[w] - k + 0.5) / n) for w, k in bad.items() if k >= LEAST_DOCS}
-        kept = sorted(((o, w) for w, o in odds.items() if o >= LEAST_ODDS), key=lambda x: (-x[0], x[1]))[:WORDS]
-        self.weights = {w: math.log(o) for o, w in kept}
+        sure = {w: math.log((k / m) / ((docs[w] - k + 0.5) / n)) - ERRORS * math.sqrt(1 / k + 1 / (docs[w] - k + 0.5)) for w, k in bad.items() if k >= LEAST_DOCS}
+        kept = sorted(((o, w) for w, o in sure.items() if o >= math.log(LEAST_ODDS)), key=lambda x: (-x[0], x[1]))[:WORDS]
+        self.weights = {w: o for o, w in kept}
         self.toxic = Logistic([toxicity(t, self.weights) for t in texts], toxic)
         self.rates = {"quality": sum(quality) / len(quality) if self.style.fitted else 1.0, "toxic": sum(toxic) / len(toxic) if self.toxic.fitted else 0.0}
 
