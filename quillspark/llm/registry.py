@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, jaccard, quality, secrets
+from quillspark.llm import bpe, jaccard, quality, repeats, secrets
 
 
 def queries() -> dict:
     return {
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_byte_bpe": bpe.op4_byte_bpe,
+        "op5_repeats": repeats.op5_repeats,
         "op6_quality": quality.op6_quality,
         "op7_secret_scan": secrets.op7_secret_scan,
     }
