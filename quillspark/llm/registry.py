@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, jaccard, quality, repeats, secrets
+from quillspark.llm import bpe, decontaminate, jaccard, packing, quality, repeats, secrets, token_counts
 
 
 def queries() -> dict:
@@ -12,6 +12,9 @@ def queries() -> dict:
         "op5_repeats": repeats.op5_repeats,
         "op6_quality": quality.op6_quality,
         "op7_secret_scan": secrets.op7_secret_scan,
+        "op8_token_counts": token_counts.op8_token_counts,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_packing": packing.op10_packing,
     }
 
 
