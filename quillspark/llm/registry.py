@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, decontaminate, jaccard, packing, quality, repeats, secrets, token_counts
+from quillspark.llm import bpe, decontaminate, jaccard, neighbours, packing, quality, repeats, secrets, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_neighbours": neighbours.op1_neighbours,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_repeats": repeats.op5_repeats,
