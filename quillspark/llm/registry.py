@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quillspark.llm import bpe, decontaminate, jaccard, neighbours, packing, quality, repeats, secrets, token_counts
 
 
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_packing": packing.op10_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
