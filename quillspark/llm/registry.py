@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillspark.llm import bpe, decontaminate, jaccard, neighbours, packing, quality, repeats, secrets, token_counts
+from quillspark.llm import bpe, decontaminate, html_text, jaccard, neighbours, packing, quality, repeats, secrets, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_neighbours": neighbours.op1_neighbours,
+        "op2_html_text": html_text.op2_html_text,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_repeats": repeats.op5_repeats,
