@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,5 +35,10 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sha256_hex(binary: Column) -> Column:
-    return F.sha2(binary, 256)
+#: A side of a join is broadcast explicitly only when it has been counted and has no more rows than this (of a few numbers each).
+BROADCAST_ROWS = 2_000_000
+
+
+def few_rows(df: DataFrame) -> DataFrame:
+    """df, a table of a few numbers a row that has been written already, marked for broadcast if it has few rows; else it is shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
