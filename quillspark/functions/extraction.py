@@ -92,7 +92,7 @@ def repair(text: str | None) -> str | None:
         return None
 
 
-@lazy_udf(f"struct<extraction:{EXTRACTION},error:string,repaired:boolean>")
+@lazy_udf(f"struct<extraction:{EXTRACTION},error:string,repaired:boolean>", once=True)
 def parsed(text: pd.Series) -> pd.DataFrame:
     """Parse; where that fails, repair locally and parse again."""
     rows = []

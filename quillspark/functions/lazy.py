@@ -9,11 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def lazy_udf(schema: str) -> Callable:
+def lazy_udf(schema: str, once: bool = False) -> Callable:
+    """once: the optimiser must not repeat the call in filters and other expressions that use its result."""
+
     def wrap(f: Callable) -> Callable[..., Column]:
         @wraps(f)
         def call(*columns: Column) -> Column:
-            return F.pandas_udf(f, schema)(*columns)
+            made = F.pandas_udf(f, schema)
+            return (made.asNondeterministic() if once else made)(*columns)
 
         return call
 

@@ -102,10 +102,10 @@ def run(records: DataFrame, model: Model, name: str, cache: DataFrame | None = N
     empty = {"raw": F.when(F.col("action") == "pass", F.col("cached")), "call_error": F.lit(None).cast("string"), "input_tokens": F.lit(0).cast("long"), "output_tokens": F.lit(0).cast("long")}
     asked = call_model(known.where(ask), "prompt", model)
     if repair is not None:
-        bad = F.col("raw").isNotNull() & parsed("raw")["extraction"].isNull()
-        again = asked.where(bad).withColumn("prompt", F.concat(F.lit(repair("")), F.col("raw"))).drop("raw", "call_error", "input_tokens", "output_tokens")
-        asked = asked.where(~bad).unionByName(call_model(again, "prompt", model, attempts=1))
+        asked = asked.withColumn("bad", F.col("raw").isNotNull() & parsed("raw")["extraction"].isNull())
+        again = asked.where("bad").withColumn("prompt", F.concat(F.lit(repair("")), F.col("raw"))).drop("raw", "call_error", "input_tokens", "output_tokens")
+        asked = asked.where("not bad").drop("bad").unionByName(call_model(again.drop("bad"), "prompt", model, attempts=1))
     everything = written(asked.unionByName(known.where(~ask).withColumns(empty)), "answered")
     out = finish(everything, threshold).join(everything.select("idx", "input_tokens", "output_tokens"), "idx")
-    fresh = everything.where(F.col("cached").isNull() & F.col("raw").isNotNull()).where(parsed("raw")["extraction"].isNotNull()).select("k", F.col("raw").alias("v"), F.col("idx").alias("pos"))
+    fresh = everything.where(F.col("cached").isNull() & F.col("raw").isNotNull()).withColumn("fine", parsed("raw")["extraction"].isNotNull()).where("fine").select("k", F.col("raw").alias("v"), F.col("idx").alias("pos"))
     return out, fresh
