@@ -86,7 +86,12 @@ def _stretches(ids: list, tags: list, texts: list[bytes], first: list[int], leng
 
 def _same(e: np.ndarray) -> np.ndarray:
     """Whether a sorted entry's predecessor has the same anchor and context."""
-    return np.concatenate([[False], (e["anchor"][1:] == e["anchor"][:-1]) & (e["ctx"][1:] == e["ctx"][:-1]) & (e["w"][1:] == e["w"][:-1]) & (e["off"][1:] == e["off"][:-1])])
+    return _and_first((e["anchor"][1:] == e["anchor"][:-1]) & (e["ctx"][1:] == e["ctx"][:-1]) & (e["w"][1:] == e["w"][:-1]) & (e["off"][1:] == e["off"][:-1]), len(e))
+
+
+def _and_first(later: np.ndarray, n: int, first: bool = False) -> np.ndarray:
+    """later, for all but the first of n, with what holds for the first."""
+    return np.concatenate([[first], later])[:n].astype(bool)
 
 
 def _sorted(e: np.ndarray) -> np.ndarray:
@@ -98,7 +103,7 @@ def _settled(e: np.ndarray, length: int) -> np.ndarray:
     flagged 2 with their end in ctx, put together where they overlap."""
     e = _sorted(e)
     same = _same(e)
-    again = same | np.concatenate([same[1:], [False]])
+    again = same | np.append(same[1:], False)[: len(e)]
     e["flag"] = again
     done = e[again]
     done = done[np.lexsort((done["at"], done["tag"], done["doc"]))]
@@ -163,12 +168,12 @@ def _met(length: int):
         spans = e[e["flag"] == 2]
         e = _sorted(e[e["flag"] < 2])
         same = _same(e)
-        again = same | np.concatenate([same[1:], [False]])
+        again = same | np.append(same[1:], False)[: len(e)]
         known = e[again & (e["flag"] == 0)]
         kinds = e[~same]
         anchor = kinds["anchor"]
-        several = np.concatenate([[False], anchor[1:] == anchor[:-1]])
-        several |= np.concatenate([several[1:], [False]])
+        several = _and_first(anchor[1:] == anchor[:-1], len(kinds))
+        several = several | np.append(several[1:], False)[: len(kinds)]
         kinds = kinds[several]
         at = np.concatenate([spans["at"], known["at"], kinds["at"]]).astype(np.int64)
         stop = np.concatenate([spans["ctx"].astype(np.int64), known["at"].astype(np.int64) + known["w"] - 1 + length, kinds["at"].astype(np.int64) + kinds["w"] - 1 + length])
