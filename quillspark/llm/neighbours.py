@@ -74,6 +74,7 @@ def scan_part(ids: np.ndarray, x: np.ndarray, asks: np.ndarray, q: np.ndarray, r
     edges = [0, *(e for e in (COLUMNS, 2 * COLUMNS) if e < dim), dim]
     xr, qr = x.astype(np.float32) @ rotation, q.astype(np.float32) @ rotation
     blocks = [np.ascontiguousarray(xr[:, a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    slack = 1e-5 * ((qr**2).sum(1) + float((xr**2).sum(1).max(initial=0)))  # what single precision may lose in sums and differences
     first = np.maximum(0, (blocks[0] ** 2).sum(1)[None, :] + (qr[:, : edges[1]] ** 2).sum(1)[:, None] - 2 * qr[:, : edges[1]] @ blocks[0].T)
     for i in range(len(q)):
         alive = np.flatnonzero(ids != asks[i])
@@ -82,17 +83,17 @@ def scan_part(ids: np.ndarray, x: np.ndarray, asks: np.ndarray, q: np.ndarray, r
         partial = first[i, alive]
         if len(alive) > k:
             likely = alive[np.argpartition(partial, k - 1)[:k]]
-            bound = float(((xr[likely] - qr[i]) ** 2).sum(1).max()) * (1 + 1e-5) + 1e-9
+            bound = float(((xr[likely] - qr[i]) ** 2).sum(1).max()) + float(slack[i])
             for b in range(1, len(edges)):
                 done = edges[b]
-                limit = bound if done == dim else bound * done / dim * (1 + STRICT / done**0.5) ** 2
+                limit = bound if done == dim else bound * done / dim * (1 + STRICT / done**0.5) ** 2 + float(slack[i])
                 keep = partial <= limit
                 alive, partial = alive[keep], partial[keep]
                 if done == dim or not len(alive):
                     break
                 partial = partial + ((blocks[b][alive] - qr[i, done : edges[b + 1]]) ** 2).sum(1)
             if len(alive) > 4 * k:
-                alive = alive[partial <= np.partition(partial, k - 1)[k - 1] * (1 + 1e-4) + 1e-6]
+                alive = alive[partial <= np.partition(partial, k - 1)[k - 1] + 2 * slack[i]]
         exact = np.sqrt(((x[alive] - q[i]) ** 2).sum(1))
         best = np.lexsort((ids[alive], exact))[:k]
         yield i, ids[alive][best], exact[best]
