@@ -1,0 +1,52 @@
+"""The pipeline and the registered queries."""
+
+import hashlib
+
+import duckdb
+import pytest
+
+import corpus_pipeline as p
+from quillspark.llm import registry
+
+TABLES = "documents embeddings pages benchmark labels conversations".split()
+
+
+def test_stages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ids = [{r.doc_id for r in docs.select("doc_id").collect()}]
+    for name, stage in p.STAGES[:-1]:
+        docs = p.spool(stage(spark, docs, sf), name)
+        assert docs.columns == list(p.COLUMNS)
+        ids.append({r.doc_id for r in docs.select("doc_id").collect()})
+    assert ids[0] >= ids[1] >= ids[2] >= ids[3] == ids[4]
+    labels = duckdb.sql(f"SELECT doc_id, quality, toxic FROM '{sf}/labels.parquet'").fetchall()
+    clean = {i for i, q, t in labels if q and not t}
+    assert len(clean & ids[1]) >= 0.95 * len(clean) and not {i for i, q, _ in labels if not q} & ids[1]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    items = [r[0] for r in duckdb.sql(f"SELECT text FROM '{sf}/benchmark.parquet'").fetchall()]
+    assert not any(i in t for i in items for t in texts.values()) and len(set(texts.values())) == len(texts)
+    out = {r.doc_id: r for r in p.STAGES[-1][1](spark, docs, sf).collect()}
+    assert {i: r.decoded_sha256 for i, r in out.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
+
+
+def test_awkward_rows(spark, sf, docs, awkward):
+    stages = docs(awkward)
+    for _, stage in p.STAGES[:-1]:
+        stages = p.spool(stage(spark, stages, sf), "x")
+        assert stages.columns == list(p.COLUMNS)
+    kept = [r.doc_id for r in stages.collect()]
+    assert kept.count(None) == 2 and kept.count(6) <= 1 and not {5, 8} & set(kept)
+    assert p.STAGES[-1][1](spark, stages, sf).count() == len(kept)
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_registered(spark, sf, name):
+    df = registry.queries()[name](spark, sf)
+    rows = df.collect()
+    assert len(set(df.columns)) == len(df.columns) and (rows or name == "op9_decontaminate")
+    if name in registry.oracle_sql():
+        con = duckdb.connect()
+        for t in TABLES:
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+        want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+        assert sorted(map(tuple, rows), key=repr) == sorted(want, key=repr)
