@@ -60,24 +60,25 @@ def label_errors(x: Column) -> Column:
     return F.array_compact(F.array(*checks))
 
 
-def span_found(span: Column, text: Column) -> Column:
-    """The stripped span is in the text, as it is or with white space collapsed in both."""
+def span_found(span: Column, text: Column, flat: Column | None = None) -> Column:
+    """The stripped span is in the text, as it is or with white space collapsed in both. flat: the collapsed text, where it is a
+    column already and need not be made for each span."""
     s = strip(span)
-    return (s != "") & (F.contains(text, s) | F.contains(collapse(text), collapse(s)))
+    return (s != "") & (F.contains(text, s) | F.contains(collapse(text) if flat is None else flat, collapse(s)))
 
 
-def missing_spans(block: Column, text: Column) -> Column:
+def missing_spans(block: Column, text: Column, flat: Column | None = None) -> Column:
     """array<string> of a field's spans that the text doesn't hold. A value that is unclear needs none."""
     spans = F.coalesce(block["evidence_spans"], F.array().cast("array<string>"))
     unclear = F.lower(strip(block["value"])) == "unclear"
-    lost = F.filter(spans, lambda s: (strip(s) != "") & ~span_found(s, text))
-    named = F.transform(F.filter(spans, lambda s: ~span_found(s, text)), lambda s: F.when(strip(s) == "", F.lit("<empty span>")).otherwise(s))
+    lost = F.filter(spans, lambda s: (strip(s) != "") & ~span_found(s, text, flat))
+    named = F.transform(F.filter(spans, lambda s: ~span_found(s, text, flat)), lambda s: F.when(strip(s) == "", F.lit("<empty span>")).otherwise(s))
     return F.when(unclear, lost).when(F.size(spans) == 0, F.array(F.lit("<no evidence span provided>"))).otherwise(named)
 
 
-def grounding(x: Column, text: Column) -> Column:
+def grounding(x: Column, text: Column, flat: Column | None = None) -> Column:
     def one(field: str) -> Column:
-        missing = missing_spans(x[field], text)
+        missing = missing_spans(x[field], text, flat)
         return F.struct(F.lit(field).alias("field_name"), (F.size(missing) == 0).alias("all_spans_found"), missing.alias("missing_spans"))
 
     return F.array(*(one(f) for f in FIELDS))
@@ -112,10 +113,14 @@ def semantic_flags(codes: Column) -> Column:
     return F.transform(codes, lambda c: F.struct(c.alias("code"), part(c, 1).alias("message"), part(c, 0).alias("severity")))
 
 
-def second_pass(x: Column, text: Column, threshold: float = 0.5, too_long: Column | None = None) -> dict[str, Column]:
-    """Named columns of the deterministic validation of an extraction against its record's text."""
+def second_pass(x: Column, text: Column, flat: Column | None = None) -> dict[str, Column]:
+    """What is checked of an extraction against its record's text; verdict() takes these as columns."""
+    return {"schema_errors": label_errors(x), "grounding": grounding(x, text, flat), "codes": semantic_codes(x)}
+
+
+def verdict(x: Column, errors: Column, ground: Column, codes: Column, threshold: float = 0.5, too_long: Column | None = None) -> dict[str, Column]:
+    """Named columns that follow from second_pass()."""
     too_long = F.lit(False) if too_long is None else too_long
-    errors, ground, codes = label_errors(x), grounding(x, text), semantic_codes(x)
     schema_ok, ground_ok = F.size(errors) == 0, F.forall(ground, lambda g: g["all_spans_found"])
     error = F.exists(codes, lambda c: c.isin("sig_vs_evidence_neg", "not_sig_vs_evidence_pos"))
     low = reduce(lambda a, b: a | b, (x[f]["confidence"] < threshold for f in FIELDS))
@@ -126,8 +131,8 @@ def second_pass(x: Column, text: Column, threshold: float = 0.5, too_long: Colum
         F.when(low, F.lit("low_confidence_triage")), F.when(notable, F.lit("audit_recommended")), F.when(~review, F.lit("auto_accept_eligible")),
     ))
     return {
-        "schema_errors": errors, "schema_ok": schema_ok, "grounding": ground, "grounding_ok": ground_ok, "codes": codes, "truncation_warning": too_long,
-        "auto_accept": F.when(review, F.lit("needs_human_review")).otherwise(F.lit("auto_accept")), "acceptance_reasons": reasons, "audit_wanted": notable | (F.size(codes) > 0),
+        "schema_ok": schema_ok, "grounding_ok": ground_ok, "truncation_warning": too_long, "auto_accept": F.when(review, F.lit("needs_human_review")).otherwise(F.lit("auto_accept")),
+        "acceptance_reasons": reasons, "audit_wanted": notable | (F.size(codes) > 0),
     }
 
 

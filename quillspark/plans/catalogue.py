@@ -98,8 +98,8 @@ def label_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = answers(spark, sf_dir).withColumn("canonical", t.canonical(F.col("title"), F.col("abstract")))
-    checks = rules.grounding(extraction(), F.col("canonical"))
+    rows = answers(spark, sf_dir).withColumn("canonical", t.canonical(F.col("title"), F.col("abstract"))).withColumn("flat", t.collapse(F.col("canonical")))
+    checks = rules.grounding(extraction(), F.col("canonical"), F.col("flat"))
     return rows.select("idx", F.explode(checks).alias("g")).select("idx", "g.field_name", "g.all_spans_found", F.array_join("g.missing_spans", "; ").alias("missing"))
 
 

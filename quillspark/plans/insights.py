@@ -73,7 +73,9 @@ def finish(rows: DataFrame, threshold: float = 0.5, most_chars: int | None = CAN
     where there was none."""
     done = rows.withColumn("parsed", parsed("raw"))
     x, long = F.col("parsed.extraction"), F.coalesce(F.length("canonical") > most_chars, F.lit(False)) if most_chars is not None else F.lit(False)
-    done = done.withColumns(rules.second_pass(x, F.col("canonical"), threshold, long))
+    done = done.withColumn("flat", t.collapse(F.col("canonical")))
+    done = done.withColumns(rules.second_pass(x, F.col("canonical"), F.col("flat")))
+    done = done.withColumns(rules.verdict(x, F.col("schema_errors"), F.col("grounding"), F.col("codes"), threshold, long))
     status = (
         F.when(F.col("action") == "skip", F.lit("skipped_prefilter"))
         .when(F.col("action") == "minimal_unclear", F.lit(MINIMAL_STATUS))
