@@ -36,7 +36,7 @@ def spool(df: DataFrame, name: str) -> DataFrame:
 
 
 #: A side of a join is broadcast explicitly only when it has been counted and has no more rows than this (of a few numbers each).
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def few_rows(df: DataFrame) -> DataFrame:

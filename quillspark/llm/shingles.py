@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -65,7 +66,7 @@ def sequences(h: np.ndarray, size: int) -> np.ndarray:
 
 def document_shingles(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of each text's shingles: with fewer words the whole sequence is one, without words there are none."""
-    at, chunk, total = 0, [], 0
+    chunk, total = [], 0
     for t in texts + [None]:
         if t is None or (chunk and total + len(t) > CHUNK_BYTES):
             if chunk:
@@ -82,7 +83,6 @@ def document_shingles(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
         if t is not None:
             chunk.append(t)
             total += len(t)
-            at += 1
 
 
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
@@ -92,14 +92,11 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return signed(a % 2**64), signed(b % 2**64)
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Indexes of all elements of slices, one slice after another."""
-    ends = np.cumsum(sizes)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
-
-
 class Packer:
-    """Gathers (id, size, hashes) and deals the hashes to buckets by their low bits: a row a bucket, its hashes by document."""
+    """Gathers (id, size, hashes) of documents and deals the hashes to buckets by their low bits, a row a bucket.
+
+    A hash that several of the gathered documents have is settled here: it goes on once, with their number, and each of them is noted
+    in `local`. So of any hash, however common, a packer sends one entry each time it is drained."""
 
     def __init__(self, buckets: int, width: type = np.uint32, limit: int = 3_000_000):
         self.buckets, self.width, self.limit = buckets, width, limit
@@ -114,34 +111,62 @@ class Packer:
         self.held += len(hashes)
         return self.held >= self.limit
 
-    def drain(self) -> dict[str, list]:
-        rows: dict[str, list] = {"bucket": [], "docs": [], "sizes": [], "counts": [], "tokens": []}
-        if self.held:
-            flat = np.concatenate(self.sets)
-            doc = np.repeat(np.arange(len(self.sets), dtype=np.int64), [len(s) for s in self.sets])
-            bucket = (flat & U64(self.buckets - 1)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            flat, doc, bucket = flat[order], doc[order], bucket[order]
-            flat = (flat >> U64(20)).astype(np.uint32) if self.width is np.uint32 else flat
-            ids, sizes = np.array(self.ids, np.int64), np.array(self.sizes, np.int32)
-            cuts = np.searchsorted(bucket, np.arange(self.buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)):
-                d = doc[cuts[b] : cuts[b + 1]]
-                new = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                own = d[new]
-                rows["bucket"].append(int(b))
-                rows["docs"].append(ids[own].tobytes())
-                rows["sizes"].append(sizes[own].tobytes())
-                rows["counts"].append(np.diff(np.concatenate([new, [len(d)]])).astype(np.uint32).tobytes())
-                rows["tokens"].append(flat[cuts[b] : cuts[b + 1]].tobytes())
+    def drain(self) -> tuple[dict[str, list], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows to send, local). local: ids and sizes of documents, how many of their hashes others here have too, those hashes."""
+        ids, sizes = np.array(self.ids, np.int64), np.array(self.sizes, np.int32)
+        flat = np.concatenate(self.sets) if self.sets else np.zeros(0, U64)
+        doc = np.repeat(np.arange(len(self.sets), dtype=np.int64), [len(s) for s in self.sets])
         self.clear()
-        return rows
-
-
-def unpack(table, width: type = np.uint32) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(id of each document, its size, how many tokens it has here, tokens) of all rows of a bucket."""
-    join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-    return join("docs", np.int64), join("sizes", np.int32), join("counts", np.uint32).astype(np.int64), join("tokens", width)
-
-
-PACKED = "bucket int, docs binary, sizes binary, counts binary, tokens binary"
+        order = np.argsort(flat, kind="stable")
+        ordered = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(flat)])
+        n = np.diff(np.concatenate([first, [len(flat)]]))
+        many = np.zeros(len(flat), bool)
+        many[order] = np.repeat(n > 1, n)
+        own, counts = np.unique(doc[many], return_counts=True)
+        local = ids[own], sizes[own], counts, flat[many]
+        rows: dict[str, list] = {c: [] for c in ("bucket", *_BYTES)}
+        self._put(rows, ids, sizes, doc[~many], flat[~many])
+        common, times = ordered[first[n > 1]], n[n > 1]
+        bucket = (common & U64(self.buckets - 1)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[by], np.arange(self.buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)):
+            part = by[cuts[b] : cuts[b + 1]]
+            self._row(rows, b, common=self._short(common[part]), times=times[part].astype(np.uint32))
+        return rows, local
+
+    def _short(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> U64(20)).astype(np.uint32) if self.width is np.uint32 else hashes
+
+    def _put(self, rows: dict[str, list], ids: np.ndarray, sizes: np.ndarray, doc: np.ndarray, flat: np.ndarray) -> None:
+        bucket = (flat & U64(self.buckets - 1)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        doc, bucket, flat = doc[order], bucket[order], self._short(flat[order])
+        cuts = np.searchsorted(bucket, np.arange(self.buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)):
+            d = doc[cuts[b] : cuts[b + 1]]
+            new = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+            counts = np.diff(np.concatenate([new, [len(d)]])).astype(np.uint32)
+            self._row(rows, b, docs=ids[d[new]], sizes=sizes[d[new]], counts=counts, tokens=flat[cuts[b] : cuts[b + 1]])
+
+    @staticmethod
+    def _row(rows: dict[str, list], bucket: int, **arrays: np.ndarray) -> None:
+        rows["bucket"].append(int(bucket))
+        for c in _BYTES:
+            rows[c].append(arrays[c].tobytes() if c in arrays else b"")
+
+
+#: docs: ids; sizes: theirs; counts: how many tokens each has here; tokens: all of them; common: tokens of several; times: of how many.
+_BYTES = ("docs", "sizes", "counts", "tokens", "common", "times")
+PACKED = "bucket int, " + ", ".join(f"{c} binary" for c in _BYTES)
+
+
+def packed(rows: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in _BYTES)]))
+
+
+def unpack(table: pa.Table, width: type = np.uint32) -> dict[str, np.ndarray]:
+    """All rows of a bucket together."""
+    kinds = {"docs": np.int64, "sizes": np.int32, "counts": np.uint32, "tokens": width, "common": width, "times": np.uint32}
+    return {c: np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in kinds.items()}
