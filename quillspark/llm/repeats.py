@@ -9,6 +9,8 @@ string occurs. So equal strings meet where their anchors meet, and a text falls
    suffixes that start there form an array; a stack scan over the common prefixes of neighbours builds its interval tree. Intervals
    whose occurrences have different left neighbours (or reach a stretch's edge) are maximal repeats; they are put out with all
    their occurrences.
+   An anchor with more than MOST / 2 stretches (found by counting in the buckets that have more than MOST) would be too much for one
+   task; its strings are hashed instead, one row a string, counted with map-side sums, and those that occur again are spans.
 3. Spans are joined with the texts, merged and cut out.
 
 Defined results: a null or empty text loses nothing; texts under LENGTH bytes have no such string; matches never cross texts;
@@ -25,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.base import spool, table, text_rows
+from quillspark.llm.base import few_rows, spool, table, text_rows
 from quillspark.llm.shingles import mix
 
 #: Bytes of a gram; texts are hashed in pieces of about so many bytes, which must be under 2**24.
 GRAM, PIECE = 32, 1_500_000
 
+#: Stretches that one task may get.
+MOST = 2_000_000
+
 ENTRY = np.dtype([("anchor", "<u8"), ("ctx", "<u4"), ("w", "u1"), ("off", "u1"), ("flag", "u1"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<u4")])
 FOUND = "doc long, tag int, at long, stop long, w int, off int, anchor long"
 _BASE = 0x9E3779B97F4A7C15
@@ -250,10 +255,74 @@ def _compared(length: int):
     return run
 
 
+_OPEN = "anchor long, ctx long, w int, off int, flag int, doc long, tag int, at long"
+
+
+def _opened(dealt: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                e = np.frombuffer(raw, ENTRY)
+                kinds = {"anchor": np.int64, "ctx": np.int64, "w": np.int32, "off": np.int32, "flag": np.int32, "doc": np.int64, "tag": np.int32, "at": np.int64}
+                yield pa.RecordBatch.from_pydict({c: e[c].astype(np.uint64).view(np.int64) if c == "anchor" else e[c].astype(k) for c, k in kinds.items()})
+
+    return dealt.select("entries").mapInArrow(run, _OPEN)
+
+
+def _closed(rows: DataFrame, buckets: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            e = np.zeros(b.num_rows, ENTRY)
+            for c in ENTRY.names:
+                x = b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+                e[c] = x.view(np.uint64) if c == "anchor" else x
+            bucket = (e["anchor"] & np.uint64(buckets - 1)).astype(np.int32)
+            own = np.unique(bucket)
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(own, pa.int32()), "entries": pa.array([e[bucket == k].tobytes() for k in own], pa.binary())})
+
+    return rows.select(*ENTRY.names).mapInArrow(run, "bucket int, entries binary")
+
+
+def _apart(dealt: DataFrame, big: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(dealt without the anchors that have too many stretches, the stretches of those)."""
+    opened = _opened(dealt.join(few_rows(big), "bucket", "left_semi"))
+    hot = few_rows(spool(opened.where("flag < 2").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > MOST // 2).select("anchor"), "hot"))
+    rest = dealt.join(few_rows(big), "bucket", "left_anti").select("bucket", "entries")
+    return rest.union(_closed(opened.join(hot, "anchor", "left_anti"), buckets)), opened.where("flag < 2").join(hot, "anchor", "left_semi")
+
+
+def _hashed(rows: DataFrame, hot: DataFrame, length: int) -> DataFrame:
+    """(doc, tag, at, stop) of the strings of hot stretches that occur again, by 128-bit hashes of the strings."""
+    asked = hot.groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "w", "flag")).alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        signed = lambda x: x - 2**64 if x >= 2**63 else x
+        for b in batches:
+            out: dict[str, list] = {c: [] for c in ("h1", "h2", "doc", "tag", "at", "n")}
+            for doc, tag, text, each in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
+                for x in each:
+                    for at in range(x["at"], x["at"] + x["w"]):
+                        h = xxhash.xxh3_128_intdigest(text[at : at + length])
+                        for c, v in zip(out, (signed(h >> 64), signed(h & (2**64 - 1)), doc, tag, at, 1 + (x["flag"] == 1)), strict=True):
+                            out[c].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.int64()), ("n", pa.int32())]))
+
+    texts = rows.join(asked, (rows.key == asked.doc) & (rows.tag == asked.tag)).select(rows.key, rows.tag, rows.text, "asked")
+    strings = spool(texts.mapInArrow(run, "h1 long, h2 long, doc long, tag int, at long, n int"), "strings")
+    again = strings.groupBy("h1", "h2").agg(F.sum("n").alias("times")).where("times > 1").select("h1", "h2")
+    return strings.join(again, ["h1", "h2"], "left_semi").select("doc", "tag", "at", (F.col("at") + length).alias("stop"))
+
+
 def repeated_spans(rows: DataFrame, length: int, n_docs: int) -> DataFrame:
     """(doc, tag, at, stop) in bytes, overlapping, of all repeated strings of rows (key long, tag int, text)."""
     buckets = 1 << min(20, max(6, (n_docs // 4000).bit_length()))
-    found = spool(_dealt(rows, length, buckets).groupBy("bucket").applyInArrow(_met(length), FOUND), "found")
+    dealt, hot = spool(_dealt(rows, length, buckets), "dealt"), None
+    big = spool(dealt.groupBy("bucket").agg(F.sum(F.length("entries") / ENTRY.itemsize).alias("n")).where(F.col("n") > MOST).select("bucket"), "big")
+    if not big.isEmpty():
+        dealt, hot = _apart(dealt, big, buckets)
+    found = spool(dealt.groupBy("bucket").applyInArrow(_met(length), FOUND), "found")
     asked = found.where("w > 0").groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "at", "stop", "w", "off")).alias("asked"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +337,8 @@ def repeated_spans(rows: DataFrame, length: int, n_docs: int) -> DataFrame:
     texts = rows.join(asked, (rows.key == asked.doc) & (rows.tag == asked.tag)).select(rows.key, rows.tag, rows.text, "asked").dropDuplicates(["key", "tag"])
     contexts = texts.mapInArrow(cut, "anchor long, doc long, tag int, at long, w int, off int, bytes binary")
     differing = contexts.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(buckets))).applyInArrow(_compared(length), "doc long, tag int, at long, stop long")
-    return found.where("w = 0").select("doc", "tag", "at", "stop").union(differing)
+    spans = found.where("w = 0").select("doc", "tag", "at", "stop").union(differing)
+    return spans if hot is None else spans.union(_hashed(rows, hot, length))
 
 
 def cut_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
