@@ -15,6 +15,7 @@ from quillspark.functions import rules
 from quillspark.functions import text as t
 from quillspark.functions.checkpoints import written
 from quillspark.functions.extraction import FIELDS, parsed
+from quillspark.functions.messages import audited
 
 # Fixed values.
 ATTEMPTS, PAUSE_S, CALLS_AT_ONCE = 3, 0.5, 8
@@ -90,14 +91,31 @@ def finish(rows: DataFrame, threshold: float = 0.5, most_chars: int | None = CAN
         F.when(minimal, F.lit("needs_human_review")).when(validated, F.col("auto_accept")).alias("auto_accept"),
         F.when(minimal, F.array(F.lit(MINIMAL_REASON), F.col("reason"))).when(validated, F.col("acceptance_reasons")).alias("acceptance_reasons"),
         F.when(validated, F.col("schema_errors")).alias("schema_errors"), F.when(validated, F.col("grounding")).alias("grounding"), F.when(validated, F.col("codes")).alias("semantic_codes"),
-        F.when(F.col("action") != "pass", F.col("reason")).alias("prefilter_note"), F.coalesce(validated & F.col("truncation_warning"), F.lit(False)).alias("truncated"),
+        F.coalesce(validated & F.col("audit_wanted"), F.lit(False)).alias("audit_wanted"), F.when(F.col("action") != "pass", F.col("reason")).alias("prefilter_note"), F.coalesce(validated & F.col("truncation_warning"), F.lit(False)).alias("truncated"),
         F.coalesce("call_error", F.col("parsed.error")).alias("error"), F.left(F.col("raw"), F.lit(RAW_CHARS)).alias("raw_text"), F.lit(t.PROMPT_VERSION).alias("prompt_version"), F.lit(t.VALIDATOR_VERSION).alias("validator_version"),
     )
 
 
-def run(records: DataFrame, model: Model, name: str, cache: DataFrame | None = None, repair: Callable[[str], str] | None = None, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def audit_prompt(pmid: Column, title: Column, abstract: Column, extraction: Column) -> Column:
+    shape = json.dumps({"supported": True, **dict.fromkeys(FIELDS, "supported | weakly_supported | unsupported"), "notes": ["<reason>"]})
+    return F.concat(
+        F.lit("Do the quotes bear out this labelling?\n\nPMID: "), pmid, F.lit("\nTitle: "), F.coalesce(title, F.lit("")), F.lit("\nAbstract: "), F.coalesce(abstract, F.lit("")),
+        F.lit("\nLabelling: "), F.left(F.to_json(extraction), F.lit(AUDIT_CHARS)), F.lit(f"\n\nAnswer with one JSON object of this shape: {shape}"),
+    )
+
+
+def run_audit(rows: DataFrame, results: DataFrame, model: Model) -> DataFrame:
+    """rows with audit (null where none was wanted); a call that fails, or an answer that doesn't parse, supports nothing."""
+    wanted = rows.join(results.where("audit_wanted").select("idx", "extraction"), "idx")
+    asked = wanted.select("idx", audit_prompt(F.col("pmid"), F.col("title"), F.col("abstract"), F.col("extraction")).alias("prompt"))
+    said = call_model(written(asked, "audits"), "prompt", model, attempts=1)
+    found = said.select("idx", audited("raw", "call_error").alias("audit"), F.col("input_tokens").alias("audit_read"), F.col("output_tokens").alias("audit_made"))
+    return rows.join(written(found, "audited"), "idx", "left")
+
+
+def run(records: DataFrame, model: Model, name: str, cache: DataFrame | None = None, repair: Callable[[str], str] | None = None, threshold: float = 0.5, audit_model: Model | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, new cache rows (k, v, pos)) of records (idx, pmid, title, abstract, publication_types, keywords). Cached answers are
-    validated again; only answers that parse are cached. repair makes a prompt of a text that doesn't parse, for one more call."""
+    validated again; only answers that parse are cached. audit_model is asked about labels that call for it. repair makes a prompt of a text that doesn't parse, for one more call."""
     rows = written(route(records).withColumn("k", t.cache_key(F.col("pmid"), name, F.col("input_hash"))), "routed")
     known = (rows.join(cache.withColumnRenamed("v", "cached"), "k", "left") if cache is not None else rows.withColumn("cached", F.lit(None).cast("string"))).withColumn("prompt", user_prompt(F.col("pmid"), F.col("title"), F.col("abstract"), F.col("publication_types"), F.col("keywords")))
     ask = (F.col("action") == "pass") & F.col("cached").isNull()
@@ -108,6 +126,11 @@ def run(records: DataFrame, model: Model, name: str, cache: DataFrame | None = N
         again = asked.where("bad").withColumn("prompt", F.concat(F.lit(repair("")), F.col("raw"))).drop("raw", "call_error", "input_tokens", "output_tokens")
         asked = asked.where("not bad").drop("bad").unionByName(call_model(again.drop("bad"), "prompt", model, attempts=1))
     everything = written(asked.unionByName(known.where(~ask).withColumns(empty)), "answered")
-    out = finish(everything, threshold).join(everything.select("idx", "input_tokens", "output_tokens"), "idx")
+    if audit_model is None:
+        out = finish(everything, threshold).join(everything.select("idx", "input_tokens", "output_tokens"), "idx")
+    else:
+        checked = run_audit(everything, finish(everything, threshold), audit_model)
+        tokens = (F.col(c) + F.coalesce(a, F.lit(0)) for c, a in (("input_tokens", "audit_read"), ("output_tokens", "audit_made")))
+        out = finish(checked, threshold, audit=F.col("audit.supported")).join(checked.select("idx", "audit", *(t.alias(c) for t, c in zip(tokens, ("input_tokens", "output_tokens"), strict=True))), "idx")
     fresh = everything.where(F.col("cached").isNull() & F.col("raw").isNotNull()).withColumn("fine", parsed("raw")["extraction"].isNotNull()).where("fine").select("k", F.col("raw").alias("v"), F.col("idx").alias("pos"))
     return out, fresh

@@ -5,9 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import extraction, rules
+from quillspark.functions import extraction, messages, rules
 from quillspark.functions import text as t
-from quillspark.plans import insights
+from quillspark.plans import insights, reports
 from quillspark.plans.providers import Registry
 from quillspark.sources import article_xml, files, paged
 
@@ -182,3 +182,42 @@ def test_grounding(spark):
     assert value(spark, rules.missing_spans(block("positive", [" text of ", "", "absent"]), text)) == ["<empty span>", "absent"]
     assert value(spark, rules.missing_spans(block("positive", []), text)) == ["<no evidence span provided>"]
     assert value(spark, rules.missing_spans(block(" Unclear", ["", "absent"]), text)) == ["absent"]
+
+
+def test_messages():
+    assert messages.content([{"type": "text", "text": "a"}, "b", {"type": "x"}]) == "ab{'type': 'x'}" and messages.content(1) == "1"
+    assert messages.usage({"input_tokens": 1, "output_tokens": 2}, {}) == (1, 2) and messages.usage(None, {"usage": {"prompt_tokens": 3}}) == (3, 0) and messages.usage({}, None) == (0, 0)
+    a = messages.audit('{"supported": "false", "main_claim": " Weakly_Supported ", "notes": ["x", " ", 1]}')
+    assert a["supported"] is True and a["main_claim"] == "weakly_supported" and a["finding_direction"] == "unsupported" and a["notes"] == ["x", "1"]
+    assert messages.audit("[]") is None and messages.audit("no") is None and messages.audit('{"notes": "one"}')["notes"] == ["one"]
+
+
+def test_audit_and_reports(spark, tmp_path):
+    text = "There were good results in all of the groups that were seen."
+    rows = [(i, str(i), f"T{i}", text, [], []) for i in range(4)]
+    records = spark.createDataFrame(rows, "idx long, pmid string, title string, abstract string, publication_types array<string>, keywords array<string>")
+    mixed = json.dumps(answer(finding_direction={"value": "mixed", "confidence": 0.9, "evidence_spans": ["good results"]}))
+
+    plain = json.dumps(answer())
+
+    def auditor(prompt):
+        if "Title: T1" in prompt:
+            raise RuntimeError("down")
+        return ("?" if "Title: T2" in prompt else '{"supported": true}'), 5, 6
+
+    out = insights.run(records, lambda p: (mixed if "Title: T3" not in p else plain, 1, 2), "m", audit_model=auditor)[0]
+    got = {r.pmid: r for r in out.collect()}
+    assert [got[str(i)].status for i in range(4)] == ["validated_but_flagged", "needs_human_review", "needs_human_review", "auto_accepted"]
+    assert got["1"].audit.notes == ["audit_error:down"] and got["2"].audit.notes == ["audit_parse_failed"] and got["3"].audit is None and got["0"].input_tokens == 6
+    lines = reports.insights_markdown(out, None, "v", "m", "o.json")
+    assert "- `needs_human_review`: **2**" in lines and "1, 2" in lines and "- `mixed`: **3**" in lines and lines[-1] == "(none)"
+    from quillspark.operators import duplicates
+
+    dup = spark.createDataFrame([(0, "1", "x", None, 2000, "10.1/a", []), (1, "2", "y", None, 2000, "10.1/a", [])], "idx long, pmid string, title string, abstract string, publication_year int, doi string, publication_types array<string>")
+    r = duplicates.report(dup)
+    lines = list(reports.duplicates_markdown(r))
+    assert "### Cluster 1 - `same_doi` (high)" in lines and "- 1↔2: same_doi" in lines and "| 2 |" in lines
+    assert json.loads(reports.duplicates_json(r))["clusters"][0]["pmids"] == ["1", "2"]
+    assert reports.insights_path("a.txt", True).name == "a.jsonl" and reports.insights_path(None, False).name == "insights.json"
+    reports.write_text(lines, tmp_path / "d" / "r.md")
+    assert (tmp_path / "d" / "r.md").read_text().startswith("# Probable")
