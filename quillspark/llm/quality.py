@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.base import spool, table
+from quillspark.llm.base import few_rows, spool, table
 
 #: The training sample: so many labelled documents at most, the first by a hash of the id, of so many characters at most.
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000
@@ -163,6 +163,7 @@ def posteriors(found: DataFrame, rates: dict[str, float]) -> DataFrame:
     placed = spool(paths.join(shrunk, paths.host.eqNullSafe(shrunk.h)).drop("h"), "placed")
     t = placed.agg(*(_strength(placed, "n", k, F.col(f"host_{k}")).alias(k) for k in rates)).first()
     sites = placed.select(F.col("host").alias("h"), F.col("path").alias("p"), *(f"host_{k}" for k in rates), *(((F.col(k) + F.lit(t[k]) * F.col(f"host_{k}")) / (F.col("n") + F.lit(t[k]))).alias(f"path_{k}") for k in rates))
+    sites = few_rows(sites)
     out = found.join(sites, found.host.eqNullSafe(sites.h) & found.path.eqNullSafe(sites.p)).drop("h", "p")
     return out.withColumns({f"p_{k}": _sigmoid(F.col(f"{k}_ratio") + _logit(F.col(f"path_{k}"))) for k in rates})
 
