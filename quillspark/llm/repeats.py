@@ -2,7 +2,7 @@
 
 A string of LENGTH bytes holds LENGTH - GRAM + 1 grams; the one of lowest hash (the leftmost of equals) is its anchor, wherever the
 string occurs. So equal strings meet where their anchors meet, and a text falls into stretches of string starts with one anchor.
-1. Each stretch is dealt by its anchor's hash as some 30 bytes: a hash of its context (all bytes that its strings cover) and its
+1. Each stretch is dealt by its anchor's hash as 43 bytes: a 128-bit hash of its context (all bytes that its strings cover) and its
    place. Stretches of equal contexts are repeats as a whole; within a batch they are recognised before anything is sent, so a
    passage in a third of all texts sends a row a batch.
 2. Only where one anchor has different contexts are bytes fetched: one context of each kind. For each distance from the anchor the
@@ -36,7 +36,8 @@ GRAM, PIECE = 32, 1_500_000
 #: Stretches that one task may get.
 MOST = 2_000_000
 
-ENTRY = np.dtype([("anchor", "<u8"), ("ctx", "<u4"), ("w", "u1"), ("off", "u1"), ("flag", "u1"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<u4")])
+#: ctx, more: the two halves of the hash of a context.
+ENTRY = np.dtype([("anchor", "<u8"), ("ctx", "<u8"), ("more", "<u8"), ("w", "u1"), ("off", "u1"), ("flag", "u1"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<u4")])
 FOUND = "doc long, tag int, at long, stop long, w int, off int, anchor long"
 _BASE = 0x9E3779B97F4A7C15
 
@@ -81,8 +82,9 @@ def _stretches(ids: list, tags: list, texts: list[bytes], first: list[int], leng
     s, a, o = start[new], at[new], owner[new]
     w = np.diff(np.concatenate([new, [len(start)]]))
     out = np.zeros(len(s), ENTRY)
-    digest, stop = xxhash.xxh3_64_intdigest, (s + w - 1 + length).tolist()
-    out["ctx"] = np.fromiter((digest(joined[b:e]) & 0xFFFFFFFF for b, e in zip(s.tolist(), stop, strict=True)), np.uint32, len(s))
+    digest, stop = xxhash.xxh3_128_digest, (s + w - 1 + length).tolist()
+    halves = np.frombuffer(b"".join(digest(joined[b:e]) for b, e in zip(s.tolist(), stop, strict=True)), ">u8")
+    out["ctx"], out["more"] = halves[::2], halves[1::2]
     out["anchor"], out["w"], out["off"] = h[a], w, a - s
     out["doc"], out["tag"] = np.array(ids, np.int64)[o], np.array(tags, np.int32)[o]
     out["at"] = s - (ends - sizes)[o] + np.array(first, np.int64)[o]
@@ -91,7 +93,7 @@ def _stretches(ids: list, tags: list, texts: list[bytes], first: list[int], leng
 
 def _same(e: np.ndarray) -> np.ndarray:
     """Whether a sorted entry's predecessor has the same anchor and context."""
-    return _and_first((e["anchor"][1:] == e["anchor"][:-1]) & (e["ctx"][1:] == e["ctx"][:-1]) & (e["w"][1:] == e["w"][:-1]) & (e["off"][1:] == e["off"][:-1]), len(e))
+    return _and_first(np.logical_and.reduce([e[c][1:] == e[c][:-1] for c in ("anchor", "ctx", "more", "w", "off")]), len(e))
 
 
 def _and_first(later: np.ndarray, n: int, first: bool = False) -> np.ndarray:
@@ -100,7 +102,7 @@ def _and_first(later: np.ndarray, n: int, first: bool = False) -> np.ndarray:
 
 
 def _sorted(e: np.ndarray) -> np.ndarray:
-    return e[np.lexsort((e["at"], e["doc"], e["off"], e["w"], e["ctx"], e["anchor"]))]
+    return e[np.lexsort((e["at"], e["doc"], e["off"], e["w"], e["more"], e["ctx"], e["anchor"]))]
 
 
 def _settled(e: np.ndarray, length: int) -> np.ndarray:
@@ -255,7 +257,7 @@ def _compared(length: int):
     return run
 
 
-_OPEN = "anchor long, ctx long, w int, off int, flag int, doc long, tag int, at long"
+_OPEN = "anchor long, ctx long, more long, w int, off int, flag int, doc long, tag int, at long"
 
 
 def _opened(dealt: DataFrame) -> DataFrame:
@@ -263,8 +265,8 @@ def _opened(dealt: DataFrame) -> DataFrame:
         for b in batches:
             for raw in b.column(0).to_pylist():
                 e = np.frombuffer(raw, ENTRY)
-                kinds = {"anchor": np.int64, "ctx": np.int64, "w": np.int32, "off": np.int32, "flag": np.int32, "doc": np.int64, "tag": np.int32, "at": np.int64}
-                yield pa.RecordBatch.from_pydict({c: e[c].astype(np.uint64).view(np.int64) if c == "anchor" else e[c].astype(k) for c, k in kinds.items()})
+                kinds = {"anchor": np.int64, "ctx": np.int64, "more": np.int64, "w": np.int32, "off": np.int32, "flag": np.int32, "doc": np.int64, "tag": np.int32, "at": np.int64}
+                yield pa.RecordBatch.from_pydict({c: e[c].astype(k) for c, k in kinds.items()})
 
     return dealt.select("entries").mapInArrow(run, _OPEN)
 
@@ -275,7 +277,7 @@ def _closed(rows: DataFrame, buckets: int) -> DataFrame:
             e = np.zeros(b.num_rows, ENTRY)
             for c in ENTRY.names:
                 x = b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-                e[c] = x.view(np.uint64) if c == "anchor" else x
+                e[c] = x.view(np.uint64) if x.dtype == np.int64 else x
             bucket = (e["anchor"] & np.uint64(buckets - 1)).astype(np.int32)
             own = np.unique(bucket)
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(own, pa.int32()), "entries": pa.array([e[bucket == k].tobytes() for k in own], pa.binary())})

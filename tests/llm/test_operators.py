@@ -228,6 +228,20 @@ def test_cut_repeats_in_pieces(docs, monkeypatch):
     assert sorted(((r.doc_id, r.n_bytes, sum(s.stop - s.at for s in r.spans), len(r.spans), bytes(r.kept)) for r in got), key=repr) == brute_cut(rows, 200)
 
 
+@pytest.mark.parametrize("most", [2_000_000, 2])
+def test_contexts_that_share_32_bits_of_a_hash(docs, monkeypatch, most):
+    import xxhash
+
+    monkeypatch.setattr(repeats, "MOST", most)
+    rng = random.Random(7)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(192))
+    rows = [(k, f"{base}{n:08d}") for k, n in enumerate((33278, 72065, 33519, 156698, 5, 5))]
+    low = [xxhash.xxh3_64_intdigest(t.encode()) & 0xFFFFFFFF for _, t in rows]
+    assert low[0] == low[1] and low[2] == low[3]
+    got = repeats.cut_repeats(docs(rows)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, sum(s.stop - s.at for s in r.spans), len(r.spans), bytes(r.kept)) for r in got), key=repr) == brute_cut(rows, 200)
+
+
 def test_interval_tree():
     rng = random.Random(4)
     for _ in range(100):
