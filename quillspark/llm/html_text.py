@@ -5,6 +5,9 @@ before and after it, the kind of its own tag, and its place: inside an article,
 (navigation, advert, form, reader comments, ...), beside the page's article, or unmarked. A decision tree is trained on the small
 labelled table below when the module is loaded, and keeps or drops each block.
 
+Words in class or id are weaker than tags: an article or main element in a part that only words mark is the page's article, unless
+the page has one in fewer such parts; where nothing of a page is kept, words and links of the blocks in such parts decide.
+
 Defined results: a null or empty page, or one without blocks that are kept, has an empty text; markup that is broken is read as far
 as it goes (an unclosed element ends with its parent); pages of any length are read whole; a null id or url is kept; repeated rows
 give repeated results; columns other than id, url and html are ignored.
@@ -44,12 +47,14 @@ OTHER_WORDS = frozenset(
     "comment comments disqus reply replies respond sidebar rail widget widgets nav navbar navigation menu breadcrumb breadcrumbs pagination pager "
     "footer copyright login signin signup register toolbar skip tags tagcloud feedback paywall".split()
 )
+#: With one of these a name tells of a state or a layout (has-sidebar, comments-open), not of what the part is.
+STATE_WORDS = frozenset("has no with without open closed enabled disabled layout".split())
 SOFT_WORDS = frozenset("header masthead topbar form search".split())
 ARTICLE_TAGS = frozenset("article main".split())
 ARTICLE_WORDS = frozenset("article content post entry story articlebody maincontent main text".split())
 
 #: Places of a block.
-OTHER, BESIDE, UNMARKED, ARTICLE = 0, 1, 2, 3
+OTHER, BESIDE, UNMARKED, ARTICLE, NAMED = 0, 1, 2, 3, 4
 FEATURES = ("place", "words", "links", "words_before", "links_before", "words_after", "links_after", "kind")
 #: Kinds of a block's own tag.
 KINDS = {"li": 1, "td": 1, "th": 1, "dd": 1, "dt": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "p": 3, "blockquote": 3, "pre": 3}
@@ -77,6 +82,11 @@ LABELLED = (
     (UNMARKED, 1, 1.0, 0, 0.0, 1, 1.0, 1, 0), (UNMARKED, 2, 1.0, 1, 1.0, 2, 1.0, 1, 0), (UNMARKED, 3, 1.0, 2, 1.0, 80, 0.0, 0, 0), (UNMARKED, 6, 0.8, 45, 0.0, 4, 1.0, 3, 0),
     (UNMARKED, 4, 0.0, 3, 1.0, 2, 1.0, 0, 0), (UNMARKED, 20, 0.7, 18, 0.6, 22, 0.8, 1, 0), (UNMARKED, 5, 0.6, 0, 0.0, 7, 0.6, 0, 0), (UNMARKED, 9, 0.9, 70, 0.0, 0, 0.0, 0, 0),
     (UNMARKED, 30, 0.6, 3, 1.0, 5, 0.8, 3, 0), (UNMARKED, 3, 0.0, 2, 1.0, 0, 0.0, 0, 0),
+    # in parts that only words mark, of a page without anything else: running text
+    (NAMED, 30, 0.0, 0, 0.0, 0, 0.0, 3, 1), (NAMED, 90, 0.0, 120, 0.0, 0, 0.0, 3, 1), (NAMED, 40, 0.1, 6, 0.0, 35, 0.0, 3, 1), (NAMED, 200, 0.0, 0, 0.0, 3, 0.0, 0, 1),
+    (NAMED, 60, 0.2, 2, 1.0, 4, 1.0, 0, 1), (NAMED, 25, 0.0, 40, 0.0, 30, 0.0, 1, 1), (NAMED, 12, 0.0, 1, 1.0, 9, 0.0, 0, 0), (NAMED, 8, 0.0, 75, 0.0, 0, 0.0, 0, 0),
+    (NAMED, 3, 0.0, 110, 0.0, 95, 0.0, 3, 0), (NAMED, 1, 1.0, 0, 0.0, 1, 1.0, 1, 0), (NAMED, 2, 0.0, 0, 0.0, 0, 0.0, 3, 0), (NAMED, 30, 0.7, 20, 0.6, 30, 0.8, 3, 0),
+    (NAMED, 60, 0.9, 0, 0.0, 0, 0.0, 1, 0), (NAMED, 15, 0.1, 0, 0.0, 10, 0.0, 3, 0),
 )
 
 
@@ -128,13 +138,18 @@ def _words(value: str) -> set[str]:
 
 
 def _part(tag: str, attrs: str) -> str:
-    """What an element makes of its content: "drop", "other", "soft", "article" or "" (no change)."""
-    role, names, gone = "", set(), False
+    """What an element makes of its content: "drop", "other", "named" (other, by words only), "soft", "article" ("comment": with words
+    of something else), "text" (article, by words only) or "" (no change)."""
+    role, names, whole, other, gone = "", set(), set(), set(), False
     if attrs and "=" in attrs or "hidden" in attrs:
         for m in _ATTR.finditer(attrs):
             key, value = (m[1] or m[5]).lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                names |= _words(value)
+                for name in value.split():
+                    words = _words(name)
+                    names |= words
+                    whole.add(name.lower())
+                    other |= set() if words & STATE_WORDS else words & OTHER_WORDS
             elif key == "role":
                 role = value.strip().lower()
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -143,21 +158,23 @@ def _part(tag: str, attrs: str) -> str:
         return "drop"
     if tag in ("body", "html"):
         return ""
-    if tag in OTHER_TAGS or role in OTHER_ROLES or names & OTHER_WORDS:
+    if tag in OTHER_TAGS or role in OTHER_ROLES:
         return "other"
     if tag in ARTICLE_TAGS or role in ("main", "article"):
-        return "article"
+        return "comment" if whole & OTHER_WORDS and not whole & ARTICLE_WORDS else "article"
+    if other and (whole & OTHER_WORDS or not whole & ARTICLE_WORDS):
+        return "named"
     if tag in SOFT_TAGS or role in SOFT_ROLES or names & SOFT_WORDS:
         return "soft"
-    return "article" if names & ARTICLE_WORDS else ""
+    return "text" if names & ARTICLE_WORDS else ""
 
 
 class Blocks:
-    """The blocks of a page: (text, words, linked words, place, kind)."""
+    """The blocks of a page: (text, words, linked words, place, kind, level); level: how many parts around are marked by words."""
 
     def __init__(self, page: str):
         self.found: list[list] = []
-        self.stack: list[tuple[str, str]] = []  # element, place: "", "soft", "article", "other" or "drop"
+        self.stack: list[tuple[str, str, int]] = []  # element, place: "", "soft", "text", "article", "named", "other" or "drop"; level
         self.text: list[str] = []
         self.linked: list[str] = []
         self.in_link, self.own = 0, ""
@@ -194,12 +211,15 @@ class Blocks:
     def place(self) -> str:
         return self.stack[-1][1] if self.stack else ""
 
+    def level(self) -> int:
+        return self.stack[-1][2] if self.stack else 0
+
     def flush(self) -> None:
         text = " ".join(html.unescape("".join(self.text)).split())
         if text:
             linked = len(html.unescape(" ".join(self.linked)).split())
             n = len(text.split())
-            self.found.append([text, n, min(n, linked), self.place(), KINDS.get(self.own, 0)])
+            self.found.append([text, n, min(n, linked), self.place(), KINDS.get(self.own, 0), self.level()])
         self.text, self.linked = [], []
 
     def open(self, tag: str, attrs: str) -> None:
@@ -216,22 +236,27 @@ class Blocks:
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS | {"a"}:
             return
         part, around = _part(tag, attrs), self.place()
-        if part and part != around and tag not in BLOCKS and part != "article":
+        level = self.level() + (part in ("named", "comment"))
+        if part and part != around and tag not in BLOCKS and part not in ("article", "text"):
             self.flush()
         if around == "drop" or part == "drop":
             place = "drop"
         elif around == "other" or part == "other":
             place = "other"
-        elif part == "article":
-            place = "article"
-        elif around == "article" and tag in ("header", "label"):
+        elif part in ("article", "comment"):
             place = "article"
+        elif around == "named" or part == "named":
+            place = "named"
+        elif part == "text":
+            place = "article" if around == "article" else "text"
+        elif around in ("article", "text") and tag in ("header", "label"):
+            place = around
         elif part == "soft":
             place = "soft"
         else:
             place = around
-        if tag in BLOCKS or place != around:
-            self.stack.append((tag, place))
+        if tag in BLOCKS or place != around or level != self.level():
+            self.stack.append((tag, place, level))
 
     def end_paragraph(self) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
@@ -263,21 +288,28 @@ class Blocks:
                 return
 
 
-def features(found: list[list]) -> list[tuple]:
-    has_article = any(b[3] == "article" for b in found)
-    places = {"article": ARTICLE, "other": OTHER, "soft": OTHER, "": BESIDE if has_article else UNMARKED}
+def features(found: list[list], named: int = OTHER) -> list[tuple]:
+    """named: the place of blocks in parts that only words mark."""
+    levels = [b[5] for b in found if b[3] == "article"] or [b[5] for b in found if b[3] == "text"]
+    lowest = min(levels, default=0)
+    places = {"other": OTHER, "named": named, "soft": OTHER, "": BESIDE if levels else UNMARKED}
     share = [b[2] / b[1] for b in found]
     none = (0, 0.0)
     out = []
     for i, b in enumerate(found):
+        place = places[b[3]] if b[3] in places else ARTICLE if b[5] <= lowest else OTHER
         before, after = (found[i - 1][1], share[i - 1]) if i else none, (found[i + 1][1], share[i + 1]) if i + 1 < len(found) else none
-        out.append((places[b[3]], b[1], share[i], *before, *after, b[4]))
+        out.append((place, b[1], share[i], *before, *after, b[4]))
     return out
 
 
 def main_text(page: str | None, tree: Node = TREE) -> str:
     found = Blocks(page or "").found
-    return " ".join(b[0] for b, f in zip(found, features(found), strict=True) if decide(tree, f))
+    for named in (OTHER, NAMED):
+        kept = [b[0] for b, f in zip(found, features(found, named), strict=True) if decide(tree, f)]
+        if kept:
+            break
+    return " ".join(kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

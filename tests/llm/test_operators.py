@@ -70,6 +70,29 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+RUNNING = "The council voted on Tuesday to keep the old harbour open for another year, after a long debate about the cost of repairs and the boats that still use it daily."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='content has-sidebar'><article><h1>T</h1><p>one two</article><div class=sidebar>side</div></div>", "T one two"),
+        ("<main class='no-sidebar'><h1>T</h1><p>one two</main>", "T one two"),
+        ("<article class='post comments-open'><p>one two<div class=ad>Buy</div></article>", "one two"),
+        ("<div class='social'><article><p>one two</article><section id=comments><article><p>Great</article></section></div>", "one two"),
+        ("<article class='widget'><p>one two</article>", "one two"),
+        ("<main><h1>T</h1><article class='post share'><p>one two</article><article class=comment><p>Great</article></main>", "T one two"),
+        ("<main><div class='layout has-sidebar'><p>one two</div></main>", "one two"),
+        (f"<div class=header-text>Site</div><div class=widget-area><article><p>{RUNNING}</article></div>", RUNNING),
+        (f"<nav><a href=/>Home</a></nav><div id=widgets><p>{RUNNING}</p><p><a href=/>More</a></p></div>", RUNNING),
+        (f"<div><p>{RUNNING}</p></div><div class=comments><p>{RUNNING} No!</p></div>", RUNNING),
+        (f"<aside><p>{RUNNING}</p></aside>", ""),
+    ],
+)
+def test_articles_in_parts_with_layout_words(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_pages(spark):
     rows = duckdb.sql("SELECT page_id, url, html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()
     import html
