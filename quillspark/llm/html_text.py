@@ -9,7 +9,8 @@ Words in class or id are weaker than tags: an article or main element in a part
 the page has one in fewer such parts; where nothing of a page is kept, words and links of the blocks in such parts decide.
 
 Defined results: a null or empty page, or one without blocks that are kept, has an empty text; markup that is broken is read as far
-as it goes (an unclosed element ends with its parent); pages of any length are read whole; a null id or url is kept; repeated rows
+as it goes (an unclosed element ends with its parent, a head where something starts that cannot be in one, another unclosed element
+without text at the next block); pages of any length are read whole; a null id or url is kept; repeated rows
 give repeated results; columns other than id, url and html are ignored.
 """
 
@@ -28,6 +29,8 @@ from quillspark.llm.base import table
 
 #: Elements by role. Content of DROPPED ones is no text; VOID ones have no content; the others that start a block:
 DROPPED = frozenset("script style template noscript svg math iframe object head title audio video canvas select datalist".split())
+#: What can be in a head; other elements end it.
+IN_HEAD = frozenset("head title base basefont bgsound link meta style script noscript template object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -130,6 +133,8 @@ def decide(node: Node, row: tuple) -> bool:
 TREE = train(list(LABELLED))
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?P<close2>/?)(?P<tag2>[A-Za-z][^\s/>]*)(?P<attrs2>[^>]*)>", re.S)
+#: Tags of DROPPED elements that hold markup, outside of comments and raw text.
+_DROPPED_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title)\b.*?(?:</(?P=raw)\b|\Z)|<(?P<close>/?)(?P<tag>{'|'.join(sorted(DROPPED - {'script', 'style', 'title', 'head'}))})(?=[\s/>])", re.S | re.I)
 _ATTR = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 
 
@@ -174,10 +179,11 @@ class Blocks:
 
     def __init__(self, page: str):
         self.found: list[list] = []
-        self.stack: list[tuple[str, str, int]] = []  # element, place: "", "soft", "text", "article", "named", "other" or "drop"; level
+        self.stack: list[tuple[str, str, int, bool]] = []  # element, place ("", "soft", "text", "article", "named", "other" or "drop"), level, never closed
         self.text: list[str] = []
         self.linked: list[str] = []
         self.in_link, self.own = 0, ""
+        self.page, self.unclosed = page, None  # where DROPPED elements start that are never closed, once it has been looked up
         at, end = 0, len(page)
         while at < end:
             m = _TAG.search(page, at)
@@ -196,13 +202,15 @@ class Blocks:
                 self.close(tag)
                 continue
             attrs = m["attrs"] or m["attrs2"] or ""
-            self.open(tag, attrs)
+            self.open(tag, attrs, m.start())
             if tag in ("script", "style", "textarea", "title") and not attrs.endswith("/"):
                 stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = stop.start() if stop else end
         self.flush()
 
     def add(self, text: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and text.strip():
+            self.stack.pop()
         if self.place() != "drop":
             self.text.append(text)
             if self.in_link:
@@ -222,7 +230,33 @@ class Blocks:
             self.found.append([text, n, min(n, linked), self.place(), KINDS.get(self.own, 0), self.level()])
         self.text, self.linked = [], []
 
-    def open(self, tag: str, attrs: str) -> None:
+    def never_closed(self, start: int) -> bool:
+        if self.unclosed is None:
+            opened: dict[str, list[int]] = {}
+            for m in _DROPPED_TAG.finditer(self.page):
+                if m["tag"]:
+                    own = opened.setdefault(m["tag"].lower(), [])
+                    if not m["close"]:
+                        own.append(m.start())
+                    elif own:
+                        own.pop()
+            self.unclosed = {x for own in opened.values() for x in own}
+        return start in self.unclosed
+
+    def end_dropped(self, tag: str) -> None:
+        """Ends a head, and DROPPED elements that are never closed, where an element starts that cannot be in them."""
+        for i in range(len(self.stack) - 1, -1, -1):
+            name, place, _, open_end = self.stack[i]
+            if place != "drop":
+                return
+            if name == "head" and (tag not in IN_HEAD or tag == "body") or open_end and tag in ENDS_PARAGRAPH | {"body"}:
+                del self.stack[i:]
+            elif name in DROPPED and tag != "body":
+                return
+
+    def open(self, tag: str, attrs: str, start: int = -1) -> None:
+        if self.place() == "drop":
+            self.end_dropped(tag)
         if tag in BLOCKS:
             self.flush()
             if tag in ENDS_PARAGRAPH:
@@ -255,15 +289,15 @@ class Blocks:
             place = "soft"
         else:
             place = around
-        if tag in BLOCKS or place != around or level != self.level():
-            self.stack.append((tag, place, level))
+        if tag in BLOCKS or tag in DROPPED or place != around or level != self.level():
+            self.stack.append((tag, place, level, tag in DROPPED and tag not in ("script", "style", "title", "head") and self.never_closed(start)))
 
     def end_paragraph(self) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == "p":
                 del self.stack[i:]
                 return
-            if self.stack[i][0] in BLOCKS:
+            if self.stack[i][0] in BLOCKS or self.stack[i][0] in DROPPED:
                 return
 
     def end_same(self, tag: str) -> None:
@@ -271,7 +305,7 @@ class Blocks:
             if self.stack[i][0] in SAME_ENDS[tag]:
                 del self.stack[i:]
                 return
-            if self.stack[i][0] in ("ul", "ol", "dl", "table", "menu", "nav", "div", "section", "article", "main", "select"):
+            if self.stack[i][0] in DROPPED or self.stack[i][0] in ("ul", "ol", "dl", "table", "menu", "nav", "div", "section", "article", "main"):
                 return
 
     def close(self, tag: str) -> None:

@@ -93,6 +93,25 @@ def test_articles_in_parts_with_layout_words(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>T</title><body><article><p>text</p></article></body></html>", "text"),
+        ("<head><meta charset=x><script>a<b</script><noscript><p>no</p></noscript><title>T</title><article><p>text</article>", "text"),
+        ("<head><title>T</title><noscript><body><article><p>text</article>", "text"),
+        ("<head><title>T</title>Running words without any markup here", "Running words without any markup here"),
+        ("<head><title>T</title><p>no</p></head><body><article><p>text</article></body>", "text"),
+        ("<article><p>one<object data=x><param name=y></object><p>two<object data=x><p>three</article>", "one two three"),
+        ("<article><p>one<select><option>no<option>no<p>two<noscript><div>no</div></noscript><p>three</article>", "one two three"),
+        ("<article><p>one<noscript><p>two<noscript><p>no</noscript><p>three<audio src=x><p>four</article>", "one two three four"),
+        ("<article><p>one<svg><text>no</text><!-- </svg> --><p>two<template><p>no<video src=x><p>no</template><p>three</article>", "one two three"),
+        ("<article><p>one<object><object><p>no</object>no<p>no</object><p>two</article>", "one two"),
+    ],
+)
+def test_dropped_elements_that_are_not_closed(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_pages(spark):
     rows = duckdb.sql("SELECT page_id, url, html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()
     import html
