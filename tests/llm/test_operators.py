@@ -174,6 +174,23 @@ def test_components(docs, monkeypatch, block):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_repeated_ids(docs, seed):
+    rows = [(k % 40, t) for k, (_, t) in enumerate(near_copies(seed))] + [(k, t) for k, (_, t) in enumerate(near_copies(seed + 10))]
+    rows += [(0, "a b c d e f g h"), (500, "a b c d e f g h"), (0, "k l m n o p q r"), (501, "k l m n o p q r")]
+    texts = sorted({t for _, t in rows}, key=lambda t: min(i for i, x in rows if x == t))
+    near = brute_components(list(enumerate(texts)))
+    first = {}
+    for i, t in rows:
+        c = near[texts.index(t)][1]
+        first[c] = min(i, first.get(c, i))
+    want = {}
+    for i, t in rows:
+        c = first[near[texts.index(t)][1]] if near[texts.index(t)][0] else i
+        want[i] = min(c, want.get(i, c))
+    assert {r.doc_id: r.component_id for r in jaccard.near_components(docs(rows)).collect()} == want
+
+
 def test_components_awkward(docs, awkward, spark):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_components(docs(awkward)).collect()]
     named = {r[0]: r[1:] for r in got if r[0] is not None}
