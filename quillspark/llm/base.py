@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +24,13 @@ def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset (single machine, tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset and everything runs in one process
+    (tests) a folder of this machine is set; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,7 +41,53 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spool/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.spooled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of spool() that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.spooled_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sparkContext().hadoopConfiguration()).delete(path, True)
+
+
+def release() -> None:
+    """Hands freed memory of this Python process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def frugal(run: Callable) -> Callable:
+    """run, a function for mapInArrow, that hands its memory back when a partition ends: Python workers stay alive for a while, beside
+    those of the next stage."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
+def frugal_group(run: Callable, least: int = 8_000_000) -> Callable:
+    """The same for a function of applyInArrow, after groups of so many bytes."""
+
+    @wraps(run)
+    def wrapped(group: pa.Table) -> pa.Table:
+        large = group.nbytes >= least
+        out = run(group)
+        if large:
+            del group
+            release()
+        return out
+
+    return wrapped
 
 
 #: A side of a join is broadcast explicitly only when it has been counted and has no more rows than this (of a few numbers each).
