@@ -2,7 +2,12 @@
 
 All of it is DataFrame operations. From each rule's pattern a Boolean trigram query is derived (trigrams.py). The index has, for
 each trigram that some rule asks for, its posting list of documents, in blocks of documents of bounded size. Posting lists are
-intersected and united block by block; what is left are candidates. Rules without mandatory trigrams scan every document.
+intersected and united block by block; what is left are candidates. Rules without mandatory trigrams scan every document. Only keys
+move: candidates are a written table, broadcast where they are counted to be few; beyond that texts are joined by key.
+
+No pattern can read a stretch of text more than a fixed number of times: none has a repeated group, and a rule whose parts may begin
+anywhere in a run of characters takes the run as a whole and tests that (`inside`). Lists of matches are folded in chunks, so a text
+with very many of them costs little more than their number.
 
 Defined results: a null or empty text has no spans; a null id stays null; repeated rows give repeated results; texts are scanned
 whole; offsets count code points; columns other than the id and the text are ignored.
@@ -16,21 +21,30 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.base import table, text_rows
+from quillspark.llm.base import few_rows, spool, table
 from quillspark.llm.trigrams import trigram_query
 
 #: About so many documents in a block of the index.
 BLOCK_DOCS = 4096
+#: Matches that are folded at once.
+CHUNK = 256
 
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: in the syntax that Java, RE2 and Python share. A match counts if its group has `least` characters or more."""
+    """pattern: in the syntax that Java, RE2 and Python share. A match counts if its group has `least` characters or more and, where
+    `inside` is given, that pattern is found in the whole match."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
+    inside: str = ""
+
+    @property
+    def telling(self) -> str:
+        """The pattern that trigrams are derived from."""
+        return self.inside or self.pattern
 
 
 BASE_RULES = (
@@ -42,8 +56,8 @@ MORE_RULES = (
     Rule("hosting", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("maps", "AIza[A-Za-z0-9_-]+", 0, 39),
-    Rule("signed", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+"),
-    Rule("private", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("signed", "[A-Za-z0-9_.-]+", 0, 1, "(^|\\.)eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]"),
+    Rule("private", "-----BEGIN [A-Z ]*-----", 0, 1, "BEGIN ([A-Z ]* )?PRIVATE KEY-----"),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -54,7 +68,7 @@ def _literal(s: str) -> Column:
 
 def candidates(rows: DataFrame, rules: tuple[Rule, ...], n_docs: int, key: str = "key", text: str = "text") -> DataFrame:
     """(key, rules array<string>): kinds of the rules whose trigram query the document meets; rules without one are left out."""
-    asked = {r.kind: trigram_query(r.pattern) for r in rules}
+    asked = {r.kind: trigram_query(r.telling) for r in rules}
     asked = {kind: q for kind, q in asked.items() if q}
     grams = sorted({g for q in asked.values() for clause in q for alt in clause for g in alt})
     low = F.lower(text)
@@ -74,31 +88,52 @@ def candidates(rows: DataFrame, rules: tuple[Rule, ...], n_docs: int, key: str =
     return lists.select(F.explode(hits).alias("h")).select(F.col("h.kind").alias("kind"), F.explode("h.keys").alias(key)).groupBy(key).agg(F.collect_set("kind").alias("rules"))
 
 
+def _folded(items: Column, kind: str, start: Column, step) -> Column:
+    """array<kind> of what step puts out over the items, in order: step(at, item) gives (next at, what it puts out or null). Chunks are
+    folded one by one, so that no list grows by copies of itself."""
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(items) / CHUNK).cast("int")), lambda k: F.slice(items, k * CHUNK + 1, CHUNK))
+    none = F.array().cast(f"array<{kind}>")
+
+    def inner(acc: Column, item: Column) -> Column:
+        at, out = step(acc["at"], item)
+        return F.struct(at.alias("at"), F.when(out.isNotNull(), F.array_append(acc["out"], out)).otherwise(acc["out"]).alias("out"))
+
+    def outer(acc: Column, chunk: Column) -> Column:
+        done = F.aggregate(chunk, F.struct(acc["at"].alias("at"), none.alias("out")), inner)
+        return F.element_at(F.transform(F.array(done), lambda r: F.struct(r["at"].alias("at"), F.array_append(acc["out"], r["out"]).alias("out"))), 1)
+
+    first = F.struct(start.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(chunks, first, outer, lambda acc: F.flatten(acc["out"]))
+
+
 def spans_of(rule: Rule, text: Column) -> Column:
     """array<struct<start, end>> of a rule's matches: offsets are summed from the lengths of matches and of what lies between."""
     pattern = _literal(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     value = whole if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
     between = F.split(text, rule.pattern, -1)
+
+    def counts(v: Column) -> Column:
+        long = F.length(v) >= rule.least
+        return long & v.rlike(rule.inside) if rule.inside else long
+
     steps = F.zip_with(
         F.zip_with(F.transform(between, F.length), F.transform(whole, F.length), lambda gap, size: F.struct(gap.alias("gap"), size.alias("size"))),
-        F.transform(value, F.length),
+        F.transform(value, counts),
         lambda s, kept: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), kept.alias("kept")),
     )
     steps = F.filter(steps, lambda s: s["size"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        begin, end = acc["at"] + s["gap"], acc["at"] + s["gap"] + s["size"]
-        out = F.when(s["kept"] >= rule.least, F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end")))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        begin, end = at + s["gap"], at + s["gap"] + s["size"]
+        return end, F.when(s["kept"], F.struct(begin.alias("start"), end.alias("end")))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    return _folded(steps, "struct<start:int,end:int>", F.lit(0), step)
 
 
 def _exhaustive(rule: Rule) -> Rule:
     """A pattern that is one repeated class is searched with its least length at once: its matches are maximal runs either way."""
-    if rule.pattern.startswith("[") and rule.pattern.index("]") == len(rule.pattern) - 2 and rule.pattern.endswith("+"):
+    if not rule.inside and rule.pattern.startswith("[") and rule.pattern.index("]") == len(rule.pattern) - 2 and rule.pattern.endswith("+"):
         return Rule(rule.kind, f"{rule.pattern[:-1]}{{{rule.least},}}", 0, rule.least)
     return rule
 
@@ -108,9 +143,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     extra = [F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *extra)
     rows = rows.withColumn("key", F.coalesce(F.col("id"), F.xxhash64("text")))
-    asked = {r.kind for r in rules if trigram_query(r.pattern)}
+    asked = {r.kind for r in rules if trigram_query(r.telling)}
     if asked:
-        rows = rows.join(candidates(rows, rules, docs.count()), "key", "left")
+        rows = rows.join(few_rows(spool(candidates(rows, rules, docs.count()), "candidates")), "key", "left")
     empty = F.array().cast("array<struct<start:int,end:int>>")
 
     def tagged(i: int, rule: Rule) -> Column:
@@ -124,15 +159,27 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with one mark for each run of overlapping spans."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with one mark for each run of overlapping spans, which must be in order of their starts."""
+    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.size(spans) / CHUNK).cast("int")), lambda k: F.slice(spans, k * CHUNK + 1, CHUNK))
+
+    def inner(part: Column, base: Column):
+        def step(acc: Column, s: Column) -> Column:
+            begin = s["start"] - base
+            fresh = begin >= acc["at"]
+            out = F.when(fresh, F.concat(acc["out"], F.substring(part, acc["at"] + 1, begin - acc["at"]), F.lit(mark))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], s["end"] - base).alias("at"), out.alias("out"))
+
+        return step
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def outer(acc: Column, chunk: Column) -> Column:  # chunk by chunk, on the part of the text that its spans reach
+        end = F.greatest(acc["at"], F.coalesce(F.array_max(F.transform(chunk, lambda s: s["end"])), F.lit(0)))
+        part = F.substring(text, acc["at"] + 1, end - acc["at"])
+        first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        marked = F.transform(F.array(part), lambda p: F.aggregate(chunk, first, inner(p, acc["at"]), lambda r: r["out"]))
+        return F.struct(end.alias("at"), F.concat(acc["out"], marked).alias("out"))
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(pieces, start, outer, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def _joined(spans: Column) -> Column:
@@ -153,16 +200,16 @@ def op7_sql() -> str:
     def one(i: int, r: Rule) -> str:
         pattern = r.pattern.replace("'", "''")
         return f"""SELECT n, {i} AS ord, '{r.kind}' AS kind, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {r.group}) AS v,
-                   regexp_split_to_array(t, '{pattern}') AS gaps, {r.least} AS least FROM d"""
+                   regexp_split_to_array(t, '{pattern}') AS gaps, {r.least} AS least, '{r.inside}' AS inside FROM d"""
 
     rules = " UNION ALL ".join(one(i, r) for i, r in enumerate(RULES))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
 hits AS ({rules}),
-each AS (SELECT n, ord, kind, least, length(v[i]) AS kept, length(m[i]) AS size,
+each AS (SELECT n, ord, kind, least, inside, v[i] AS value, length(v[i]) AS kept, length(m[i]) AS size,
                 list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i-1], lambda x: length(x))), 0) AS start
          FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM hits WHERE len(m) > 0)),
-spans AS (SELECT n, ord, kind, start::BIGINT AS start, kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT AS span FROM each WHERE kept >= least),
+spans AS (SELECT n, ord, kind, start::BIGINT AS start, kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT AS span FROM each WHERE kept >= least AND (inside = '' OR regexp_matches(value, inside))),
 agg AS (SELECT n, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c,
                string_agg(span, ',' ORDER BY start, ord) FILTER (ord < 3) AS base, string_agg(span, ',' ORDER BY start, ord) AS spans FROM spans GROUP BY n)
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,

@@ -235,6 +235,17 @@ def test_encoding(docs, awkward, enc):
     assert d[1].n_tokens == 0 and d[1].ids_sha256 == hashlib.sha256(b"").hexdigest() and d[9].decoded_sha256 == hashlib.sha256("é 日本 😀 ñ".encode()).hexdigest()
 
 
+def test_words_of_megabytes(enc):
+    import regex
+
+    rng = random.Random(11)
+    own = bpe.encoder_at(RANKS)
+    texts = ["a" * 1_000_000, "".join(rng.choice("abcdefghijk") for _ in range(300_000)), "ab" * 40 + " " + "é" * 33, "word and more " * 200_000]
+    got = list(bpe.encoded_texts(own, regex.compile(PATTERN), texts))
+    assert [d for _, d in got] == [t.encode() for t in texts] and got[0][0].max() < 50_256
+    assert all(ids.tolist() == enc.encode_ordinary(t) for t, (ids, _) in list(zip(texts, got, strict=True))[1:])
+
+
 def test_every_character(enc):
     import regex
 
@@ -345,7 +356,7 @@ def brute_spans(text):
     out = []
     for order, r in enumerate(secrets.RULES):
         for m in re.finditer(r.pattern, text):
-            if len(m[r.group]) >= r.least:
+            if len(m[r.group]) >= r.least and (not r.inside or re.search(r.inside, m[0])):
                 out.append((m.start(), order, f"{r.kind}:{m.start()}:{m.end()}"))
     return [s for _, _, s in sorted(out)]
 
@@ -368,7 +379,23 @@ def test_redact(docs):
     assert by[0] == "#' and é 😀 token:abc secret:token:abcdefgh" and by[7] == "#😀#"
 
 
-@pytest.mark.parametrize("pattern", [r.pattern for r in secrets.RULES] + ["ab(cd|ef)?gh", "x*abc", "[ab]cd", "(foo|ba)r", "a.c"])
+HOSTILE_SECRETS = {
+    1: "-----BEGIN " + "A " * 500_000 + "PRIVATE KEY-----", 2: "eyJa.eyJ " + "eyJ" * 300_000, 3: "eyJ-" * 250_000, 4: ".eyJ.eyJa" * 100_000, 5: "token=abcdef " * 60_000, 6: "-----BEGIN " * 90_000,
+    7: "a" * 1_000_000, 8: "password" * 120_000, 9: "eyJa.eyJb.c " * 80_000, 10: "gh" * 500_000, 11: "token=" * 160_000,
+}
+
+
+def test_long_hostile_texts_are_scanned(docs):
+    got = secrets.scan(docs(list(HOSTILE_SECRETS.items()))).select("doc_id", F.size("spans").alias("n"), F.sha2(secrets.redact(F.col("text"), F.col("spans"), "#"), 256).alias("t")).collect()
+    by = {r.doc_id: r for r in got}
+    for i, n in {1: 1, 2: 0, 3: 0, 4: 0, 5: 60_000, 6: 0, 7: 1, 8: 0, 9: 80_000, 10: 0}.items():
+        assert by[i].n == n, i
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert by[1].t == sha("#") and by[5].t == sha("# " * 60_000) and by[9].t == sha("# " * 80_000) and by[3].t == sha(HOSTILE_SECRETS[3])
+    assert by[11].n == len(brute_spans(HOSTILE_SECRETS[11]))
+
+
+@pytest.mark.parametrize("pattern", [r.telling for r in secrets.RULES] + ["ab(cd|ef)?gh", "x*abc", "[ab]cd", "(foo|ba)r", "a.c"])
 def test_trigram_queries_hold(pattern):
     """Every match of a pattern meets its query."""
     rng = random.Random(6)
