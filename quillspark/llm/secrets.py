@@ -88,10 +88,19 @@ def candidates(rows: DataFrame, rules: tuple[Rule, ...], n_docs: int, key: str =
     return lists.select(F.explode(hits).alias("h")).select(F.col("h.kind").alias("kind"), F.explode("h.keys").alias(key)).groupBy(key).agg(F.collect_set("kind").alias("rules"))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), where value is evaluated once however often use refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _chunks(items: Column) -> Column:
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / CHUNK).cast("int")), lambda k: F.slice(v, k * CHUNK + 1, CHUNK))
+    return _once(items, cut)
+
+
 def _folded(items: Column, kind: str, start: Column, step) -> Column:
     """array<kind> of what step puts out over the items, in order: step(at, item) gives (next at, what it puts out or null). Chunks are
     folded one by one, so that no list grows by copies of itself."""
-    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(items) / CHUNK).cast("int")), lambda k: F.slice(items, k * CHUNK + 1, CHUNK))
     none = F.array().cast(f"array<{kind}>")
 
     def inner(acc: Column, item: Column) -> Column:
@@ -100,10 +109,10 @@ def _folded(items: Column, kind: str, start: Column, step) -> Column:
 
     def outer(acc: Column, chunk: Column) -> Column:
         done = F.aggregate(chunk, F.struct(acc["at"].alias("at"), none.alias("out")), inner)
-        return F.element_at(F.transform(F.array(done), lambda r: F.struct(r["at"].alias("at"), F.array_append(acc["out"], r["out"]).alias("out"))), 1)
+        return _once(done, lambda r: F.struct(r["at"].alias("at"), F.array_append(acc["out"], r["out"]).alias("out")))
 
     first = F.struct(start.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
-    return F.aggregate(chunks, first, outer, lambda acc: F.flatten(acc["out"]))
+    return F.aggregate(_chunks(items), first, outer, lambda acc: F.flatten(acc["out"]))
 
 
 def spans_of(rule: Rule, text: Column) -> Column:
@@ -160,8 +169,6 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with one mark for each run of overlapping spans, which must be in order of their starts."""
-    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.size(spans) / CHUNK).cast("int")), lambda k: F.slice(spans, k * CHUNK + 1, CHUNK))
-
     def inner(part: Column, base: Column):
         def step(acc: Column, s: Column) -> Column:
             begin = s["start"] - base
@@ -179,7 +186,7 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], marked).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(pieces, start, outer, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.aggregate(_chunks(spans), start, outer, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def _joined(spans: Column) -> Column:
