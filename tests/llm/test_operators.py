@@ -470,8 +470,26 @@ def test_tiles_like_brute_force():
     rng = random.Random(8)
     for _ in range(60):
         item, doc = [rng.choice("abc") for _ in range(25)], [rng.choice("abc") for _ in range(40)]
-        hits = [(i, j) for i in range(len(item) - 3) for j in range(len(doc) - 3) if item[i : i + 4] == doc[j : j + 4]]
-        assert decontaminate.tiles(hits, 4) == brute_tiles(item, doc, 4)
+        assert decontaminate.tiles(rolling(item), rolling(doc), 4) == brute_tiles(item, doc, 4)
+
+
+def rolling(words):
+    return decontaminate.Rolling(next(decontaminate.words([" ".join(words).encode()])))
+
+
+def test_tiles_of_repetitive_texts():
+    assert decontaminate.tiles(rolling(["a"] * 40_000), rolling(["a"] * 20_000)) == [(0, 0, 20_000)]
+    assert decontaminate.tiles(rolling(["a"] * 500), rolling(["a"] * 500_000)) == [(0, 0, 500)]
+    assert decontaminate.tiles(rolling(["a", "b"] * 300), rolling(["b", "a"] * 100_000)) == [(0, 1, 600)]
+    assert decontaminate.tiles(rolling(["a", "b"] * 300), rolling(["a", "a", "c"] * 100_000)) == []
+    rng = random.Random(12)
+    two = lambda n: [rng.choice("ab") for _ in range(n)]
+    assert sum(n for _, _, n in decontaminate.tiles(rolling(two(500)), rolling(two(100_000)))) > 450
+    morse = [0]
+    for _ in range(12):
+        morse += [1 - x for x in morse]
+    both = ["xy"[x] for x in morse] + ["xy"[1 - x] for x in morse]
+    assert all(both[i : i + n] == both[4096:][j : j + n] for i, j, n in decontaminate.tiles(rolling(both), rolling(both[4096:])))
 
 
 def test_decontaminate(docs, awkward, spark):
@@ -484,7 +502,7 @@ def test_decontaminate(docs, awkward, spark):
     items = spark.createDataFrame([(1, " ".join(item)), (2, "a b c"), (3, None), (4, ""), (None, "a b c d e f")], "item_id long, text string")
     got = sorted(((r.doc_id, r.item_id or 0, r.n_tiles, r.n_covered, r.n_words) for r in decontaminate.coverage(docs(rows), items).collect()), key=repr)
     assert got == [(100, 1, 1, 40, 40), (100, 1, 1, 40, 40), (101, 1, 2, 40, 40), (104, 2, 1, 3, 3), (6, 0, 1, 6, 6), (6, 0, 1, 6, 6)]
-    blocks = decontaminate.coverage(docs(rows), items, block_chars=60)
+    blocks = decontaminate.coverage(docs(rows), items, broadcast_chars=60)
     assert sorted(((r.doc_id, r.item_id or 0, r.n_tiles, r.n_covered, r.n_words) for r in blocks.collect()), key=repr) == got
 
 
