@@ -1,6 +1,7 @@
 """Quality classifier: document evidence combined with host and path posteriors, by hierarchical empirical Bayes.
 
-Two small logistic models are fitted on a bounded sample of labelled documents: one for quality (shares of byte classes, lengths
+Two small logistic models are fitted on a sample of SAMPLE_ROWS labelled documents at most, of any length (only their features and
+the words' counts come to the driver): one for quality (shares of byte classes, lengths
 and repetition of words and lines), one for toxicity (words that the sample's toxic documents have far more often). Over all
 documents they give log likelihood ratios. Sums of the documents' probabilities by host and by path (map-side sums, so a hot host
 is one row a task) are shrunk: a path toward its host, a host toward the global rate, each by a strength estimated from how much
@@ -15,18 +16,18 @@ count; columns other than those named are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.base import few_rows, spool, table
+from quillspark.llm.base import few_rows, frugal, spool, table
 
-#: The training sample: so many labelled documents at most, the first by a hash of the id, of so many characters at most.
-SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000
+#: The training sample: so many labelled documents at most, the first by a hash of the id.
+SAMPLE_ROWS = 6000
 #: Words that speak for toxicity: so many at most, in so many of the sample's toxic documents at least, surely (lower bound at
 #: so many standard errors) so many times as often as in others.
 WORDS, LEAST_DOCS, LEAST_ODDS, ERRORS = 2000, 3, 6.0, 1.64
@@ -89,31 +90,55 @@ class Logistic:
         return np.clip(z @ self.w[1:] + self.w[0] - self.prior, -25, 25)
 
 
+@dataclass
 class Model:
-    def __init__(self, texts: list[str], quality: list[int], toxic: list[int]):
-        self.style = Logistic([style(t) for t in texts], quality)
-        docs, bad = Counter(), Counter()
-        for t, x in zip(texts, toxic, strict=True):
-            own = set(words_of(t))
-            docs.update(own)
-            if x:
-                bad.update(own)
-        n, m = max(1, len(texts) - sum(toxic)), max(1, sum(toxic))
-        sure = {w: math.log((k / m) / ((docs[w] - k + 0.5) / n)) - ERRORS * math.sqrt(1 / k + 1 / (docs[w] - k + 0.5)) for w, k in bad.items() if k >= LEAST_DOCS}
-        kept = sorted(((o, w) for w, o in sure.items() if o >= math.log(LEAST_ODDS)), key=lambda x: (-x[0], x[1]))[:WORDS]
-        self.weights = {w: o for o, w in kept}
-        self.toxic = Logistic([toxicity(t, self.weights) for t in texts], toxic)
-        self.rates = {"quality": sum(quality) / len(quality) if self.style.fitted else 1.0, "toxic": sum(toxic) / len(toxic) if self.toxic.fitted else 0.0}
-
-
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """The sample comes to the driver: rows * chars characters at most."""
+    style: Logistic
+    weights: dict[str, float]
+    toxic: Logistic
+    rates: dict[str, float]
+
+
+def _described(sample: DataFrame, label: str, describe) -> tuple[list[list[float]], list[int]]:
+    """Features and labels of the sample, in an order that doesn't depend on its partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([describe(t.as_py()) for t in b.column(0)], pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
+
+    got = sorted((r.x, r.y) for r in sample.select("text", F.col(label).cast("int")).mapInArrow(run, "x array<double>, y int").collect())
+    return [x for x, _ in got], [y for _, y in got]
+
+
+def _telling_words(sample: DataFrame, n: int, m: int) -> dict[str, float]:
+    """Weights of words that toxic documents have surely more often: the lower bound of their log odds. n, m: documents that aren't
+    toxic, that are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, toxic in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                own = sorted(set(words_of(text.as_py())))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([toxic] * len(own), pa.int32())], names=["word", "toxic"])
+
+    counts = sample.select("text", F.col("toxic").cast("int")).mapInArrow(run, "word string, toxic int").groupBy("word").agg(F.count("*").alias("docs"), F.sum("toxic").alias("k")).where(F.col("k") >= LEAST_DOCS)
+    other = F.col("docs") - F.col("k") + 0.5
+    sure = F.log((F.col("k") / m) / (other / n)) - ERRORS * F.sqrt(1 / F.col("k") + 1 / other)
+    kept = counts.select("word", F.round(sure, 12).alias("sure")).where(F.col("sure") >= math.log(LEAST_ODDS)).orderBy(F.desc("sure"), "word").limit(WORDS)
+    return {r.word: r.sure for r in kept.collect()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+    """The sample is a written table of `rows` rows; features (a few dozen numbers a row) and WORDS words come to the driver."""
     own = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality is not null and toxic is not null")
     order = F.xxhash64("doc_id", F.lit(11))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text").between(1, chars))
-    sample = own.orderBy(order, "doc_id").limit(3 * rows).join(texts, "doc_id").orderBy(order, "doc_id", "text").limit(rows)
-    got = sample.select("text", "quality", "toxic").collect()
-    return Model([r.text for r in got], [int(r.quality) for r in got], [int(r.toxic) for r in got])
+    known = own.orderBy(order, "doc_id").limit(3 * rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    held = spool(known.join(texts.where("text <> ''").select("doc_id", F.xxhash64("text").alias("hash")), "doc_id").orderBy(order, "doc_id", "hash").limit(rows).distinct(), "labelled")  # ids first: texts aren't sorted
+    sample = spool(texts.withColumn("hash", F.xxhash64("text")).join(F.broadcast(held), ["doc_id", "hash"]).select("doc_id", "text", "quality", "toxic").dropDuplicates(["doc_id", "text"]), "sample")
+    style_of = Logistic(*_described(sample, "quality", style))
+    labelled = held.agg(F.count("*").alias("n"), F.coalesce(F.sum("quality"), F.lit(0)).alias("good"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
+    weights = _telling_words(sample, max(1, labelled.n - labelled.bad), max(1, labelled.bad))
+    toxic = Logistic(*_described(sample, "toxic", lambda t: toxicity(t, weights)))
+    return Model(style_of, weights, toxic, {"quality": labelled.good / labelled.n if style_of.fitted else 1.0, "toxic": labelled.bad / labelled.n if toxic.fitted else 0.0})
 
 
 def evidence(docs: DataFrame, model: Model, host: Column, path: Column) -> DataFrame:
@@ -130,7 +155,7 @@ def evidence(docs: DataFrame, model: Model, host: Column, path: Column) -> DataF
                 x = np.where(empty, 0.0, model.toxic.ratios([toxicity(t, model.weights) for t in texts]))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(q), pa.array(x)], names=["doc_id", "host", "path", "quality_ratio", "toxic_ratio"])
 
-    return rows.mapInArrow(run, "doc_id long, host string, path string, quality_ratio double, toxic_ratio double")
+    return rows.mapInArrow(frugal(run), "doc_id long, host string, path string, quality_ratio double, toxic_ratio double")
 
 
 def _sigmoid(x: Column) -> Column:

@@ -345,6 +345,46 @@ def test_posteriors_shrink(spark):
     assert len(got) == len(rows) and got[1].path_quality > 0.75 and got[1000].path_quality < 0.1 and got[1000].path_quality < got[900].path_quality < got[1].path_quality
 
 
+def test_posteriors_like_brute_force(spark):
+    rng = np.random.default_rng(13)
+    hosts = [f"h{k}" for k in range(6)] + [None]
+    rows = [(i, hosts[rng.integers(7)], ["p", "q", None][rng.integers(3)], float(rng.normal(i % 3 - 1, 2)), float(rng.normal(-1, 1))) for i in range(800)] + [(900, "only", "one", 1.0, 0.5), (900, "only", "one", 1.0, 0.5)]
+    rates = {"quality": 0.7, "toxic": 0.1}
+    found = spark.createDataFrame(rows, "doc_id long, host string, path string, quality_ratio double, toxic_ratio double")
+    got = sorted((r.doc_id, r.host or "", r.path or "", r.host_quality, r.path_quality, r.p_quality, r.host_toxic, r.path_toxic, r.p_toxic) for r in quality.posteriors(found, rates).collect())
+    sigmoid, logit = lambda x: 1 / (1 + np.exp(-x)), lambda p: np.log(p / (1 - p))
+    want = [[r[0], r[1] or "", r[2] or ""] for r in rows]
+    for column, (name, rate) in zip((3, 4), rates.items(), strict=True):
+        p = np.array([sigmoid(r[column] + logit(rate)) for r in rows])
+        overall = p.mean()
+        groups = {h: [k for k, r in enumerate(rows) if r[1] == h] for h in {r[1] for r in rows}}
+
+        def strength(parts):  # (n, observed rate, rate that it is shrunk to)
+            n = np.array([x[0] for x in parts], float)
+            seen, toward = (np.array([x[k] for x in parts]) for k in (1, 2))
+            extra = (n * ((seen - toward) ** 2 - toward * (1 - toward) / n)).sum() / n.sum()
+            return min(max((n * toward * (1 - toward)).sum() / n.sum() / max(extra, 1e-9) - 1, 1), 1000)
+
+        s = strength([(len(k), p[k].mean(), overall) for k in groups.values()])
+        host = {h: (p[k].sum() + s * overall) / (len(k) + s) for h, k in groups.items()}
+        paths = {(r[1], r[2]): [k for k, x in enumerate(rows) if x[1:3] == r[1:3]] for r in rows}
+        t = strength([(len(k), p[k].mean(), host[h[0]]) for h, k in paths.items()])
+        path = {h: (p[k].sum() + t * host[h[0]]) / (len(k) + t) for h, k in paths.items()}
+        for w, r in zip(want, rows, strict=True):
+            w += [host[r[1]], path[r[1:3]], sigmoid(r[column] + logit(path[r[1:3]]))]
+    for a, b in zip(got, sorted(map(tuple, want)), strict=True):
+        assert a[:3] == b[:3] and np.allclose(a[3:], b[3:], atol=1e-9)
+
+
+def test_long_labelled_texts_are_learnt_from(spark):
+    rng = random.Random(14)
+    text = lambda bad: " ".join(("zzz" if bad and k % 50 == 0 else f"w{rng.randrange(200)}") for k in range(6000))
+    rows = [(i, text(i % 3 == 0), "en", "s") for i in range(150)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.keep for r in quality.classify(spark.createDataFrame(rows, EMPTY), labels, F.col("source"), F.col("lang")).collect()}
+    assert all(got[i] == (i % 3 != 0) for i in range(150))
+
+
 def test_quality_awkward(docs, awkward, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.classify(docs(awkward), none, F.col("source"), F.col("lang")).collect()
