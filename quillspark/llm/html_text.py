@@ -1,12 +1,13 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut into blocks at block-level tags. A block's features are its words, the share of them in links, the same of the blocks
-before and after it, the kind of its own tag, and its place: inside an article, in a part that the markup marks as something else
-(navigation, advert, form, reader comments, ...), beside the page's article, or unmarked. A decision tree is trained on the small
-labelled table below when the module is loaded, and keeps or drops each block.
+before and after it, the kind of its own tag, its place (inside an article, in a part that tags or roles mark as something else, in
+a part that only words in class or id mark so, beside the page's article, or unmarked), and how many unlinked words the page has in
+articles or unmarked. A decision tree is trained on the blocks of the small labelled pages below when the module is loaded, and keeps
+or drops each block.
 
-Words in class or id are weaker than tags: an article or main element in a part that only words mark is the page's article, unless
-the page has one in fewer such parts; where nothing of a page is kept, words and links of the blocks in such parts decide.
+Words in class or id are features, no verdict: an article or main element in a part that only words mark is the page's article,
+unless the page has one in fewer such parts, and blocks in such parts are kept or dropped by the tree.
 
 Defined results: a null or empty page, or one without blocks that are kept, has an empty text; markup that is broken is read as far
 as it goes (an unclosed element ends with its parent, a head where something starts that cannot be in one, another unclosed element
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.base import table
+from quillspark.llm.base import frugal, table
 
 #: Elements by role. Content of DROPPED ones is no text; VOID ones have no content; the others that start a block:
 DROPPED = frozenset("script style template noscript svg math iframe object head title audio video canvas select datalist".split())
@@ -58,41 +59,40 @@ ARTICLE_WORDS = frozenset("article content post entry story articlebody maincont
 
 #: Places of a block.
 OTHER, BESIDE, UNMARKED, ARTICLE, NAMED = 0, 1, 2, 3, 4
-FEATURES = ("place", "words", "links", "words_before", "links_before", "words_after", "links_after", "kind")
+FEATURES = ("place", "elsewhere", "words", "links", "words_before", "links_before", "words_after", "links_after", "kind")
 #: Kinds of a block's own tag.
 KINDS = {"li": 1, "td": 1, "th": 1, "dd": 1, "dt": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "p": 3, "blockquote": 3, "pre": 3}
 
-#: The labelled table: place, words, share of linked words, the same of the blocks before and after, kind; 1 for the main text.
-LABELLED = (
-    # in an article: all but lists of links
-    (ARTICLE, 9, 0.0, 0, 0.0, 40, 0.0, 2, 1), (ARTICLE, 3, 0.0, 9, 0.0, 55, 0.0, 2, 1), (ARTICLE, 120, 0.0, 9, 0.0, 80, 0.0, 3, 1), (ARTICLE, 1, 0.0, 60, 0.0, 75, 0.0, 3, 1),
-    (ARTICLE, 45, 0.1, 120, 0.0, 2, 0.0, 3, 1), (ARTICLE, 2, 0.0, 1, 0.0, 0, 0.0, 3, 1), (ARTICLE, 6, 0.0, 4, 0.0, 7, 0.0, 1, 1), (ARTICLE, 14, 0.5, 33, 0.0, 61, 0.0, 3, 1),
-    (ARTICLE, 30, 0.0, 0, 0.0, 0, 0.0, 0, 1), (ARTICLE, 5, 0.0, 2, 1.0, 90, 0.0, 0, 1), (ARTICLE, 8, 0.2, 50, 0.0, 12, 0.0, 1, 1), (ARTICLE, 4, 1.0, 70, 0.0, 65, 0.0, 3, 1),
-    (ARTICLE, 2, 1.0, 3, 1.0, 2, 1.0, 1, 0), (ARTICLE, 5, 1.0, 80, 0.0, 4, 1.0, 1, 0), (ARTICLE, 3, 1.0, 4, 1.0, 0, 0.0, 1, 0), (ARTICLE, 4, 1.0, 5, 1.0, 90, 0.0, 1, 0),
-    # in a part that is marked as something else: nothing, however long
-    (OTHER, 1, 1.0, 0, 0.0, 1, 1.0, 1, 0), (OTHER, 2, 1.0, 2, 1.0, 3, 1.0, 1, 0), (OTHER, 12, 0.0, 1, 1.0, 9, 0.0, 0, 0), (OTHER, 90, 0.0, 120, 0.0, 0, 0.0, 3, 0),
-    (OTHER, 40, 0.0, 60, 0.0, 35, 0.0, 3, 0), (OTHER, 6, 0.0, 80, 0.0, 50, 0.0, 2, 0), (OTHER, 15, 0.1, 0, 0.0, 100, 0.0, 3, 0), (OTHER, 8, 0.0, 75, 0.0, 0, 0.0, 0, 0),
-    (OTHER, 3, 0.0, 110, 0.0, 95, 0.0, 3, 0), (OTHER, 1, 0.0, 4, 0.0, 4, 0.0, 0, 0), (OTHER, 25, 0.4, 20, 0.5, 30, 0.3, 1, 0), (OTHER, 200, 0.0, 0, 0.0, 3, 0.0, 0, 0),
-    # beside the page's article: nothing
-    (BESIDE, 4, 0.0, 1, 1.0, 9, 0.0, 0, 0), (BESIDE, 20, 0.0, 0, 0.0, 12, 0.0, 3, 0), (BESIDE, 60, 0.0, 70, 0.0, 0, 0.0, 3, 0), (BESIDE, 7, 0.9, 100, 0.0, 6, 1.0, 1, 0),
-    (BESIDE, 3, 0.0, 0, 0.0, 2, 1.0, 2, 0), (BESIDE, 110, 0.05, 8, 0.0, 9, 0.0, 0, 0), (BESIDE, 2, 1.0, 85, 0.0, 2, 1.0, 0, 0),
-    # unmarked pages: running text, its headings and short paragraphs in it
-    (UNMARKED, 80, 0.0, 7, 0.0, 60, 0.0, 3, 1), (UNMARKED, 35, 0.1, 80, 0.0, 25, 0.0, 3, 1), (UNMARKED, 60, 0.0, 3, 1.0, 70, 0.0, 0, 1), (UNMARKED, 22, 0.0, 40, 0.0, 3, 1.0, 3, 1),
-    (UNMARKED, 8, 0.0, 2, 1.0, 75, 0.0, 2, 1), (UNMARKED, 4, 0.0, 55, 0.0, 90, 0.0, 2, 1), (UNMARKED, 3, 0.0, 50, 0.0, 45, 0.0, 3, 1), (UNMARKED, 1, 0.0, 30, 0.0, 20, 0.0, 3, 1),
-    (UNMARKED, 15, 0.0, 0, 0.0, 0, 0.0, 3, 1), (UNMARKED, 12, 0.0, 14, 0.0, 11, 0.0, 1, 1), (UNMARKED, 2, 0.0, 5, 0.0, 6, 0.0, 3, 1), (UNMARKED, 150, 0.2, 0, 0.0, 5, 0.0, 0, 1),
-    (UNMARKED, 6, 0.0, 60, 0.0, 0, 0.0, 3, 1), (UNMARKED, 9, 0.0, 11, 0.0, 0, 0.0, 3, 1), (UNMARKED, 5, 0.0, 0, 0.0, 3, 0.0, 3, 1), (UNMARKED, 3, 0.0, 0, 0.0, 4, 0.0, 2, 1),
-    (UNMARKED, 2, 0.0, 1, 1.0, 20, 0.0, 2, 1), (UNMARKED, 5, 0.0, 3, 1.0, 30, 0.0, 2, 1), (UNMARKED, 3, 0.0, 2, 1.0, 8, 0.0, 2, 1),
-    (UNMARKED, 1, 1.0, 0, 0.0, 1, 1.0, 1, 0), (UNMARKED, 2, 1.0, 1, 1.0, 2, 1.0, 1, 0), (UNMARKED, 3, 1.0, 2, 1.0, 80, 0.0, 0, 0), (UNMARKED, 6, 0.8, 45, 0.0, 4, 1.0, 3, 0),
-    (UNMARKED, 4, 0.0, 3, 1.0, 2, 1.0, 0, 0), (UNMARKED, 20, 0.7, 18, 0.6, 22, 0.8, 1, 0), (UNMARKED, 5, 0.6, 0, 0.0, 7, 0.6, 0, 0), (UNMARKED, 9, 0.9, 70, 0.0, 0, 0.0, 0, 0),
-    (UNMARKED, 30, 0.6, 3, 1.0, 5, 0.8, 3, 0), (UNMARKED, 3, 0.0, 2, 1.0, 0, 0.0, 0, 0),
-    # in parts that only words mark, of a page without anything else: running text
-    (NAMED, 30, 0.0, 0, 0.0, 0, 0.0, 3, 1), (NAMED, 90, 0.0, 120, 0.0, 0, 0.0, 3, 1), (NAMED, 40, 0.1, 6, 0.0, 35, 0.0, 3, 1), (NAMED, 200, 0.0, 0, 0.0, 3, 0.0, 0, 1),
-    (NAMED, 60, 0.2, 2, 1.0, 4, 1.0, 0, 1), (NAMED, 25, 0.0, 40, 0.0, 30, 0.0, 1, 1), (NAMED, 12, 0.0, 1, 1.0, 9, 0.0, 0, 0), (NAMED, 8, 0.0, 75, 0.0, 0, 0.0, 0, 0),
-    (NAMED, 3, 0.0, 110, 0.0, 95, 0.0, 3, 0), (NAMED, 1, 1.0, 0, 0.0, 1, 1.0, 1, 0), (NAMED, 2, 0.0, 0, 0.0, 0, 0.0, 3, 0), (NAMED, 30, 0.7, 20, 0.6, 30, 0.8, 3, 0),
-    (NAMED, 60, 0.9, 0, 0.0, 0, 0.0, 1, 0), (NAMED, 15, 0.1, 0, 0.0, 10, 0.0, 3, 0),
+#: Labelled pages: n unlinked words stand for {n}, n linked ones for [n]; the blocks whose tag has + are the main text.
+LABELLED_PAGES = (
+    "<header><a href=/>[2]</a></header><nav><ul><li>[1]<li>[2]<li>[1]<li>[3]</ul></nav><main><article><h1 +>{9}</h1><p +>{120}</p><p +>{45} [5] {30}</p><h2 +>{3}</h2><p +>{55}</p><p +>{1}</p><p +>{75}</p><p +>{2}</p></article><aside><h3>{2}</h3><ul><li>[5]<li>[4]</ul><p>{60}</p></aside></main><footer><p>{12}</p><p>[2] {6}</p></footer>",
+    "<div class=topbar>{4} [2]</div><article class=post><h1 +>{6}</h1><p +>{14} [14]</p><p +>{61}</p><ul><li +>{6}<li +>{8} [2]<li +>{7}</ul><blockquote +>{33}</blockquote><p +>[4]</p><p +>{65}</p><ul><li>[2]<li>[3]<li>[4]<li>[5]</ul></article><section id=comments><h3>{2}</h3><p>{90}</p><p>{40}</p><p>{15} [2]</p></section>",
+    "<article><div +>{30}</div></article><footer>{8}</footer>",
+    "<nav>[1] [2]</nav><article><p +>{5}</p><div +>{90}</div><div class=share>[2]</div><div class=ad>{6}</div><p +>{4}</p></article><div>{20}</div><p>{60}</p><p>{7}</p><div>{3}</div>",
+    "<div class=cookie-notice><p>{25}</p><button>{1}</button></div><main><h1 +>{7}</h1><p +>{80}</p><form><label>{2}</label><button>{1}</button></form><p +>{35}</p><div class=newsletter><p>{15}</p></div><p +>{3}</p></main><div class=related><h3>{2}</h3><ul><li>[6]<li>[7]</ul></div><footer><p>{200}</p></footer>",
+    "<p>[1] [1] [2]</p><h1 +>{8}</h1><p +>{75}</p><p +>{60}</p><h2 +>{4}</h2><p +>{80}</p><p +>{35} [4]</p><p +>{3}</p><p +>{45}</p><p +>{1}</p><p +>{20}</p><p>{2} [8]</p>",
+    "<ul><li>[1]<li>[2]<li>[1]</ul><h2 +>{2}</h2><p +>{20}</p><p +>{50}</p><div +>{150} [20]</div><p>{5} [7]</p><ul><li>[2]<li>[3]</ul>",
+    "<p +>{15}</p>", "<p +>{6}</p><p +>{2}</p><p +>{6}</p>", "<div +>{6}</div>", "<div><a href=/>[3]</a></div><h2 +>{3}</h2><p +>{8}</p>", "<h2 +>{3}</h2><p +>{4}</p>", "<p +>{5}</p><p +>{3}</p><p +>{2}</p>",
+    "<ul><li>[20] {9}<li>[18] {10}<li>[22] {6}</ul>", "<div><a href=/>[5] </a>{3}</div><div>[6] {4}</div><div>[9] {1}</div>", "<h1 +>{5}</h1><ul><li +>{12}<li +>{14}<li +>{11}</ul>",
+    "<nav><a href=/>[1]</a></nav><div id=widgets><p +>{30}</p><p>[1]</p></div>", "<div class=sidebar><p +>{90}</p><p +>{40} [4]</p><p +>{120}</p></div><footer>{6}</footer>", "<div class=comments><div +>{200}</div></div>",
+    "<div><p +>{30}</p></div><div class=comments><p>{30}</p><p>{8}</p></div>", "<div><p +>{45}</p><p +>{70}</p></div><div id=sidebar><h3>{2}</h3><p>{60}</p><p>{110}</p></div><div class=promo>{12} [3]</div><div class=ads>{3}</div>",
+    "<div class=promo>{8}</div><div class=share>[1] [1]</div>", "<div class=notice><p>{12}</p></div>", "<div class=widget><p +>{60} [12]</p><div>{3}</div><p +>{25}</p><p>[30] {12}</p></div>", "<div class=tags>[2] [3]</div><div class=login>{2}</div>",
+    "<aside><p>{30}</p></aside>", "<footer><p>{90}</p></footer><nav>{12}</nav>", "<div><p +>{55}</p></div><aside><p>{35}</p><p>{100}</p></aside><footer>{25} [10]</footer>", "<div id=header>{4}</div><div>{3} [9]</div><p +>{22}</p><p +>{40}</p><div id=footer>{9}</div>",
 )
 
 
+def labelled_blocks() -> list[tuple]:
+    """(features, label) of each block of the labelled pages, as rows for train()."""
+    rows = []
+    for page in LABELLED_PAGES:
+        page = re.sub(r"<(\w+) \+", r"<\1 data-main=1", page)
+        page = re.sub(r"\{(\d+)\}", lambda m: " ".join(["word"] * int(m[1])), page)
+        page = re.sub(r"\[(\d+)\]", lambda m: "<a href=/x>" + " ".join(["link"] * int(m[1])) + "</a>", page)
+        found = Blocks(page).found
+        rows += [(*f, int(b[6])) for b, f in zip(found, features(found), strict=True)]
+    return rows
+
+
 @dataclass
 class Node:
     label: int
@@ -102,7 +102,7 @@ class Node:
     high: Node | None = None
 
 
-def train(rows: list[tuple], depth: int = 7) -> Node:
+def train(rows: list[tuple], depth: int = 9) -> Node:
     """A tree by Gini impurity; ties go to the earlier feature and the lower cut."""
     labels = [r[-1] for r in rows]
     node = Node(int(2 * sum(labels) > len(labels)))
@@ -130,12 +130,12 @@ def decide(node: Node, row: tuple) -> bool:
     return bool(node.label)
 
 
-TREE = train(list(LABELLED))
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?P<close2>/?)(?P<tag2>[A-Za-z][^\s/>]*)(?P<attrs2>[^>]*)>", re.S)
 #: Tags of DROPPED elements that hold markup, outside of comments and raw text.
 _DROPPED_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title)\b.*?(?:</(?P=raw)\b|\Z)|<(?P<close>/?)(?P<tag>{'|'.join(sorted(DROPPED - {'script', 'style', 'title', 'head'}))})(?=[\s/>])", re.S | re.I)
-_ATTR = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
+_RAW_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in ("script", "style", "textarea", "title")}
+_STOP = re.compile(r"[>\"']")
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 def _words(value: str) -> set[str]:
@@ -148,7 +148,7 @@ def _part(tag: str, attrs: str) -> str:
     role, names, whole, other, gone = "", set(), set(), set(), False
     if attrs and "=" in attrs or "hidden" in attrs:
         for m in _ATTR.finditer(attrs):
-            key, value = (m[1] or m[5]).lower(), m[2] or m[3] or m[4] or ""
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 for name in value.split():
                     words = _words(name)
@@ -175,7 +175,9 @@ def _part(tag: str, attrs: str) -> str:
 
 
 class Blocks:
-    """The blocks of a page: (text, words, linked words, place, kind, level); level: how many parts around are marked by words."""
+    """The blocks of a page: (text, words, linked words, place, kind, level, labelled); level: how many parts around are marked by words.
+
+    Every character is looked at a bounded number of times: where a tag's quotes never close, no later tag's quotes are heeded."""
 
     def __init__(self, page: str):
         self.found: list[list] = []
@@ -184,33 +186,64 @@ class Blocks:
         self.linked: list[str] = []
         self.in_link, self.own = 0, ""
         self.page, self.unclosed = page, None  # where DROPPED elements start that are never closed, once it has been looked up
+        self.opened: dict[str, int] = {}
+        self.own_main = self.heedless = False
         at, end = 0, len(page)
+        last = {c: page.rfind(c) for c in (">", "]]>")}
         while at < end:
-            m = _TAG.search(page, at)
-            if not m:
-                self.add(page[at:])
+            start = page.find("<", at)
+            if start < 0 or start >= last[">"]:
+                unfinished = page.find("<!--", at)
+                self.add(page[at : end if unfinished < 0 else unfinished])
                 break
-            if m.start() > at:
-                self.add(page[at : m.start()])
-            at = m.end()
-            tag = (m["tag"] or m["tag2"] or "").lower()
-            if not tag:
-                if m[0].startswith("<![CDATA["):
-                    self.add(html.escape(m[0][9:-3], False))
-                continue
-            if m["close"] or m["close2"]:
-                self.close(tag)
-                continue
-            attrs = m["attrs"] or m["attrs2"] or ""
-            self.open(tag, attrs, m.start())
-            if tag in ("script", "style", "textarea", "title") and not attrs.endswith("/"):
-                stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = stop.start() if stop else end
+            if start > at:
+                self.add(page[at:start])
+            if page.startswith("<!--", start):
+                at = page.find("-->", start + 4)
+                at = end if at < 0 else at + 3
+            elif page.startswith("<![CDATA[", start) and start < last["]]>"]:
+                at = page.find("]]>", start)
+                self.add(html.escape(page[start + 9 : at], False))
+                at += 3
+            elif page[start + 1] in "!?":
+                at = page.find(">", start) + 1
+            else:
+                at = self.tag(start)
         self.flush()
 
+    def tag(self, start: int) -> int:
+        """Reads the tag at start, or the < as text; gives the place behind it."""
+        page = self.page
+        closes = page[start + 1] == "/"
+        m = _NAME.match(page, start + 1 + closes)
+        if not m:
+            self.add("<")
+            return start + 1
+        tag, stop = m[0].lower(), self.end_of(m.end())
+        if closes:
+            self.close(tag)
+            return stop + 1
+        attrs = page[m.end() : stop]
+        self.open(tag, attrs, start)
+        if tag in ("script", "style", "textarea", "title") and not attrs.endswith("/"):
+            raw = _RAW_END[tag].search(page, stop + 1)
+            return raw.start() if raw else len(page)
+        return stop + 1
+
+    def end_of(self, at: int) -> int:
+        """Where the tag ends whose attributes begin at `at`: at the first > outside of quotes, or the first of all."""
+        page, place = self.page, at
+        while not self.heedless:
+            m = _STOP.search(page, place)
+            if m and m[0] == ">":
+                return m.start()
+            place = page.find(m[0], m.end()) + 1 if m else 0
+            self.heedless = place == 0
+        return page.find(">", at)
+
     def add(self, text: str) -> None:
         if self.stack and self.stack[-1][0] == "head" and text.strip():
-            self.stack.pop()
+            self.cut(len(self.stack) - 1)
         if self.place() != "drop":
             self.text.append(text)
             if self.in_link:
@@ -227,7 +260,7 @@ class Blocks:
         if text:
             linked = len(html.unescape(" ".join(self.linked)).split())
             n = len(text.split())
-            self.found.append([text, n, min(n, linked), self.place(), KINDS.get(self.own, 0), self.level()])
+            self.found.append([text, n, min(n, linked), self.place(), KINDS.get(self.own, 0), self.level(), self.own_main])
         self.text, self.linked = [], []
 
     def never_closed(self, start: int) -> bool:
@@ -250,7 +283,7 @@ class Blocks:
             if place != "drop":
                 return
             if name == "head" and (tag not in IN_HEAD or tag == "body") or open_end and tag in ENDS_PARAGRAPH | {"body"}:
-                del self.stack[i:]
+                self.cut(i)
             elif name in DROPPED and tag != "body":
                 return
 
@@ -264,7 +297,7 @@ class Blocks:
             if tag in SAME_ENDS:
                 self.end_same(tag)
             if tag != "br":
-                self.own = tag
+                self.own, self.own_main = tag, "data-main" in attrs
         elif tag == "a":
             self.in_link = 1
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS | {"a"}:
@@ -290,12 +323,18 @@ class Blocks:
         else:
             place = around
         if tag in BLOCKS or tag in DROPPED or place != around or level != self.level():
+            self.opened[tag] = self.opened.get(tag, 0) + 1
             self.stack.append((tag, place, level, tag in DROPPED and tag not in ("script", "style", "title", "head") and self.never_closed(start)))
 
+    def cut(self, i: int) -> None:
+        for name, *_ in self.stack[i:]:
+            self.opened[name] -= 1
+        del self.stack[i:]
+
     def end_paragraph(self) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == "p":
-                del self.stack[i:]
+                self.cut(i)
                 return
             if self.stack[i][0] in BLOCKS or self.stack[i][0] in DROPPED:
                 return
@@ -303,7 +342,7 @@ class Blocks:
     def end_same(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] in SAME_ENDS[tag]:
-                del self.stack[i:]
+                self.cut(i)
                 return
             if self.stack[i][0] in DROPPED or self.stack[i][0] in ("ul", "ol", "dl", "table", "menu", "nav", "div", "section", "article", "main"):
                 return
@@ -313,37 +352,36 @@ class Blocks:
             self.in_link = 0
         if tag in BLOCKS:
             self.flush()
-            self.own = ""
-        for i in range(len(self.stack) - 1, -1, -1):
+            self.own, self.own_main = "", False
+        for i in range(len(self.stack) - 1, -1, -1) if self.opened.get(tag) else ():
             if self.stack[i][0] == tag:
                 if self.stack[i][1] != (self.stack[i - 1][1] if i else ""):
                     self.flush()
-                del self.stack[i:]
+                self.cut(i)
                 return
 
 
-def features(found: list[list], named: int = OTHER) -> list[tuple]:
-    """named: the place of blocks in parts that only words mark."""
+def features(found: list[list]) -> list[tuple]:
     levels = [b[5] for b in found if b[3] == "article"] or [b[5] for b in found if b[3] == "text"]
     lowest = min(levels, default=0)
-    places = {"other": OTHER, "named": named, "soft": OTHER, "": BESIDE if levels else UNMARKED}
+    places = {"other": OTHER, "named": NAMED, "soft": OTHER, "": BESIDE if levels else UNMARKED}
+    place = [places[b[3]] if b[3] in places else ARTICLE if b[5] <= lowest else OTHER for b in found]
+    elsewhere = sum(b[1] - b[2] for b, p in zip(found, place, strict=True) if p in (ARTICLE, UNMARKED))
     share = [b[2] / b[1] for b in found]
     none = (0, 0.0)
     out = []
     for i, b in enumerate(found):
-        place = places[b[3]] if b[3] in places else ARTICLE if b[5] <= lowest else OTHER
         before, after = (found[i - 1][1], share[i - 1]) if i else none, (found[i + 1][1], share[i + 1]) if i + 1 < len(found) else none
-        out.append((place, b[1], share[i], *before, *after, b[4]))
+        out.append((place[i], elsewhere, b[1], share[i], *before, *after, b[4]))
     return out
 
 
+TREE = train(labelled_blocks())
+
+
 def main_text(page: str | None, tree: Node = TREE) -> str:
     found = Blocks(page or "").found
-    for named in (OTHER, NAMED):
-        kept = [b[0] for b, f in zip(found, features(found, named), strict=True) if decide(tree, f)]
-        if kept:
-            break
-    return " ".join(kept)
+    return " ".join(b[0] for b, f in zip(found, features(found), strict=True) if decide(tree, f))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -357,7 +395,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts = [main_text(h) for h in b.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
-    return rows.mapInArrow(run, f"{id_col} long, {url_col} string, text string, n_chars long")
+    return rows.mapInArrow(frugal(run), f"{id_col} long, {url_col} string, text string, n_chars long")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

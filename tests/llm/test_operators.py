@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -125,8 +126,29 @@ def test_pages(spark):
     assert all(got[i].text == plain(h) and got[i].n_chars == len(plain(h)) for i, _, h in rows) and got[None].text == ""
 
 
-def test_tree_learns_its_table():
-    assert all(html_text.decide(html_text.TREE, r) == bool(r[-1]) for r in html_text.LABELLED)
+def test_tree_learns_its_pages():
+    rows = html_text.labelled_blocks()
+    assert len(rows) > 120 and all(html_text.decide(html_text.TREE, r) == bool(r[-1]) for r in rows)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<article class="post has-sidebar"><p>{RUNNING}</article>', f'<main class="main no-sidebar"><p>{RUNNING}</main>', f'<article id="register-of-ships"><p>{RUNNING}</article>', f'<div class="login-free article"><p>{RUNNING}</p></div>',
+        f"<article><p data-hidden>{RUNNING}</p></article>", f'<article><p title="hidden" class=hidden-gem>{RUNNING}</p><p hidden>no</p></article>', f"<article><p data-x='>'>{RUNNING}</article>",
+    ],
+)
+def test_articles_with_any_names(page):
+    assert html_text.main_text(page) == RUNNING
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a href="x ', "<![CDATA[ ", "<div>", "<p>x", "<!-- ", "<noscript>", "<ul><li>x", "< ", "&", "<script>", '<a ">"', "</title ", "<title>", "<b></p>", "<div></p>", "<td><h1>", "<x y='"])
+def test_long_hostile_pages(part):
+    began = time.process_time()
+    tail = f"><article><p>{RUNNING}</article>"
+    html_text.main_text(part * (1_000_000 // len(part)))
+    html_text.main_text(part * (1_000_000 // len(part)) + tail)
+    assert time.process_time() - began < 60
 
 
 # 3 ------------------------------------------------------------------------------------------------------------------------
