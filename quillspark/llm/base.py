@@ -63,23 +63,37 @@ def release() -> None:
         trim(0)
 
 
-def frugal(run: Callable) -> Callable:
+#: What operators keep in a worker process from task to task, by operator: functions that drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def frugal(run: Callable, owner: str = "") -> Callable:
     """run, a function for mapInArrow, that hands its memory back when a partition ends: Python workers stay alive for a while, beside
-    those of the next stage."""
+    those of the next stage. What other operators than `owner` have left in the process is dropped first."""
 
     @wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(owner)
         yield from run(batches)
         release()
 
     return wrapped
 
 
+def make_room(owner: str = "") -> None:
+    others = [k for k in KEPT if k != owner]
+    for k in others:
+        KEPT.pop(k)()
+    if others:
+        release()
+
+
 def frugal_group(run: Callable, least: int = 8_000_000) -> Callable:
     """The same for a function of applyInArrow, after groups of so many bytes."""
 
     @wraps(run)
     def wrapped(group: pa.Table) -> pa.Table:
+        make_room()
         large = group.nbytes >= least
         out = run(group)
         if large:

@@ -26,13 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm.base import frugal, table, text_rows
+from quillspark.llm.base import KEPT, frugal, table, text_rows
 
 #: Words of more bytes than this (255 at most) are contracted by a heap.
 LONG_WORD = 64
 #: Rows of all steps of one recursive query, characters of text for one batch, words of a long text for one slice, and words that are
 #: remembered.
-QUERY_ROWS, BATCH_CHARS, SLICE_WORDS, KEPT_WORDS = 2_000_000, 2_000_000, 200_000, 500_000
+QUERY_ROWS, BATCH_CHARS, SLICE_WORDS, KEPT_WORDS = 1_500_000, 1_500_000, 100_000, 300_000
 
 #: A row's key g is its word's number and, in the low 8 bits, its position; ng and nt are the key and token of the row behind it.
 _ENCODE = """
@@ -87,7 +87,7 @@ class WordEncoder:
         import duckdb
 
         self.ranks = ranks
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory_limit, "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory_limit, "temp_directory": "", "allocator_flush_threshold": "8MB", "allocator_bulk_deallocation_flush_threshold": "8MB"})
         left, right, rank = [], [], []
         for token, k in ranks.items():
             for i in range(1, len(token)):
@@ -209,11 +209,16 @@ def encoded_texts(encoder: WordEncoder, split, texts: list[str]) -> Iterator[tup
 
 
 @lru_cache(maxsize=1)
-def encoder_at(path: str) -> WordEncoder:
-    """One for each worker process, so that its tasks share the words that are known."""
+def _encoder_at(path: str) -> WordEncoder:
     return WordEncoder(load_ranks(path))
 
 
+def encoder_at(path: str) -> WordEncoder:
+    """One for each worker process, so that its tasks share the words that are known, until another operator needs the room."""
+    KEPT["bpe"] = _encoder_at.cache_clear
+    return _encoder_at(path)
+
+
 def batches(rows: Iterator[pa.RecordBatch], limit: int = BATCH_CHARS) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts, by about as many characters at once; a longer text comes alone."""
     ids, texts, size = [], [], 0
@@ -246,7 +251,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 tokens.append(x.astype("<u4").tobytes()), back.append(d)
             yield pa.RecordBatch.from_pydict({id_col: pa.array(ids, pa.int64()), "token_ids": pa.array(tokens, pa.binary()), "decoded": pa.array(back, pa.binary())})
 
-    return text_rows(docs, id_col, text_col).mapInArrow(frugal(run), schema)
+    return text_rows(docs, id_col, text_col).mapInArrow(frugal(run, "bpe"), schema)
 
 
 def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,7 +268,7 @@ def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 n.append(len(x)), a.append(hashlib.sha256(x.astype("<u4").tobytes()).hexdigest()), b.append(hashlib.sha256(d).hexdigest())
             yield pa.RecordBatch.from_pydict({id_col: pa.array(ids, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a), "decoded_sha256": pa.array(b)})
 
-    return text_rows(docs, id_col, text_col).mapInArrow(frugal(digest), schema)
+    return text_rows(docs, id_col, text_col).mapInArrow(frugal(digest, "bpe"), schema)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ _PLACES = _rng.integers(1, 2**63, 64, dtype=U64) * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
-CHUNK_BYTES = 1_500_000
+CHUNK_BYTES = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,7 +98,7 @@ class Packer:
     A hash that several of the gathered documents have is settled here: it goes on once, with their number, and each of them is noted
     in `local`. So of any hash, however common, a packer sends one entry each time it is drained."""
 
-    def __init__(self, buckets: int, width: type = np.uint32, limit: int = 1_500_000):
+    def __init__(self, buckets: int, width: type = np.uint32, limit: int = 1_000_000):
         self.buckets, self.width, self.limit = buckets, width, limit
         self.clear()
 
