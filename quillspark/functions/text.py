@@ -35,8 +35,8 @@ def _decomposed(s: pd.Series) -> pd.Series:
 
 
 def decompose(c: Column) -> Column:
-    """NFKD. Texts of ASCII alone are as they are and don't go to Python's normaliser twice."""
-    return _decomposed(c)
+    """NFKD. Texts of ASCII alone are as they are; Python gets a null for them."""
+    return F.coalesce(_decomposed(F.when(c.rlike("[^\\x00-\\x7f]"), c)), c)
 
 
 def doi(c: Column) -> Column:

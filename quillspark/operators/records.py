@@ -25,7 +25,7 @@ def in_request_order(requested: DataFrame, found: DataFrame, key: str = "pmid",
 def missing_preview(missing: DataFrame, key: str = "pmid", place: str = "pos", most: int = PREVIEW) -> DataFrame:
     """One row: how many are missing, the first `most` of them and how many more there are."""
     first = missing.orderBy(place).limit(most).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(place, key))), lambda x: x[key]), ", ").alias("named"))
-    n = missing.agg(F.count("*").alias("n_missing"))
+    n = missing.agg(F.count("*").alias("n_missing"))  # both sides have one row
     more = F.when(F.col("n_missing") > most, F.concat(F.col("named"), F.lit(" (+"), (F.col("n_missing") - most).cast("string"), F.lit(" more)"))).otherwise(F.col("named"))
     return n.join(first).select("n_missing", more.alias("preview"))
 
@@ -74,6 +74,13 @@ def gold_and_predicted(gold: DataFrame, predicted: DataFrame, key: str = "pmid",
     return g.select(key, F.col("label").alias("gold")).join(p.select(key, F.col("label").alias("predicted")), key)
 
 
+def row_counts(gold: DataFrame, predicted: DataFrame, key: str = "pmid") -> DataFrame:
+    """One row: distinct keys of gold and of predicted, and those that both have."""
+    sides = gold.select(F.col(key).cast("string").alias("k"), F.lit(1).alias("g"), F.lit(0).alias("p")).union(predicted.select(F.col(key).cast("string"), F.lit(0), F.lit(1)))
+    each = sides.groupBy("k").agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    return each.agg(F.count_if(F.col("g") == 1).alias("n_gold"), F.count_if(F.col("p") == 1).alias("n_predicted"), F.count_if((F.col("g") == 1) & (F.col("p") == 1)).alias("n_common"))
+
+
 def classification_report(pairs: DataFrame) -> DataFrame:
     """(label, precision, recall, f1, support) of every label and "accuracy", "macro avg" and "weighted avg"; 0 where nothing divides."""
     hits = pairs.groupBy("gold", "predicted").agg(F.count("*").alias("n"))  # at most labels squared

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import rules
@@ -12,11 +13,13 @@ from quillspark.functions import text as t
 from quillspark.functions.checkpoints import shared_folder, written
 from quillspark.functions.extraction import audit_verdict, parsed, repaired
 from quillspark.operators import duplicates, records, spans, vectors
-from quillspark.plans import adapters, insights
+from quillspark.plans import adapters, insights, service
 from quillspark.plans.adapters import answers, answers_sql, extraction, records_sql, table
+from quillspark.sources import article_xml, collect, files
 from quillspark.streaming.incremental import routed_from_files
 
 MODEL = "openai:example"
+MONTHS_SPELT = ("Jan", "Feb.", "march", "Apr-May", "05", "13", "Spring", "DECEMBER", "0", " jul ")
 
 
 def normal_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,12 +54,12 @@ def block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.chunks(_rows(spark, sf_dir)).select("idx", "bkey", F.col("chunk").cast("long").alias("chunk"), F.col("pos").cast("long").alias("pos"))
+    return duplicates.chunks(_rows(spark, sf_dir).select("idx", "ntitle", "bkey")).select("idx", "bkey", F.col("chunk").cast("long").alias("chunk"), F.col("pos").cast("long").alias("pos"))
 
 
 def fuzzy_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(_rows(spark, sf_dir), "keyed")
-    return duplicates.fuzzy_links(duplicates.fuzzy_candidates(rows)).select("i", "j", F.round("ratio", 6).alias("ratio"), F.round("tokens", 6).alias("tokens"), F.round("abstracts", 6).alias("abstracts"))
+    return duplicates.fuzzy_links(duplicates.fuzzy_candidates(rows), rows).select("i", "j", F.round("ratio", 6).alias("ratio"), F.round("tokens", 6).alias("tokens"), F.round("abstracts", 6).alias("abstracts"))
 
 
 def key_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,11 +233,101 @@ def stream_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed_from_files(spark, f"{sf_dir}/documents.parque[t]", schema, view, f"{base}/out", f"{base}/state")
 
 
+def key_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster report of links by equal keys alone."""
+    rows = written(_rows(spark, sf_dir), "keyed")
+    stars = duplicates.key_stars(rows, "same_doi").union(duplicates.key_stars(rows, "same_title_year"))
+    edges = duplicates.key_pairs(rows, "same_doi").union(duplicates.key_pairs(rows, "same_title_year"))
+    made = duplicates.clusters({"rows": rows, "components": duplicates.components(stars), "edges": edges})
+    return made.select("cluster_id", "n", F.array_join("pmids", ",").alias("pmids"), "primary_reason", "confidence", "detail", F.array_join("edge_evidence", "; ").alias("edge_evidence"), "transitivity_note", F.array_join("reviewer_notes", "; ").alias("reviewer_notes"))
+
+
+def _element(name: str, value: Column, attributes: str = "") -> Column:
+    """An XML element with the value escaped, nothing for null."""
+    safe = F.replace(F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.coalesce(F.concat(F.lit(f"<{name}{attributes}>"), safe, F.lit(f"</{name}>")), F.lit(""))
+
+
+def xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as XML documents of one record each and read again; months are spelt in many ways, some documents lack an id."""
+    rows = adapters.records(spark, sf_dir)
+    month = F.get(F.array(*(F.lit(m) for m in MONTHS_SPELT)), (F.col("idx") % len(MONTHS_SPELT)).cast("int"))
+    label = F.when(F.col("idx") % 3 == 0, F.lit(' Label="RESULTS"')).otherwise(F.lit(""))
+    abstract = F.when(F.col("abstract").isNotNull(), F.concat(F.lit("<Abstract><AbstractText"), label, F.lit(">"), F.regexp_replace(_element("x", F.col("abstract")), "^<x>|</x>$", ""), F.lit("</AbstractText><AbstractText> </AbstractText></Abstract>")))
+    types = F.array_join(F.transform("publication_types", lambda t: _element("PublicationType", t)), "")
+    article = F.concat(
+        F.lit("<Article><Journal><JournalIssue><PubDate>"), _element("Year", F.col("publication_year").cast("string")), _element("Month", month), F.lit("</PubDate></JournalIssue></Journal>"), _element("ArticleTitle", F.col("title")),
+        F.coalesce(abstract, F.lit("")), _element("Language", F.col("language")), F.lit("<PublicationTypeList>"), types, F.lit("</PublicationTypeList></Article>"),
+    )
+    mesh = F.lit("<MeshHeadingList><MeshHeading><DescriptorName>A</DescriptorName><QualifierName>b</QualifierName></MeshHeading></MeshHeadingList><KeywordList><Keyword>k</Keyword><Keyword> </Keyword></KeywordList>")
+    ids = F.concat(F.lit("<PubmedData><ArticleIdList><ArticleId IdType='doi'>first</ArticleId>"), _element("ArticleId", F.col("doi"), " IdType='doi'"), _element("ArticleId", F.concat(F.lit("P"), "pmid"), " IdType='pmc'"), F.lit("</ArticleIdList></PubmedData>"))
+    pmid = F.when(F.col("idx") % 10 != 9, _element("PMID", F.col("pmid"))).otherwise(F.lit(""))
+    xml = F.concat(F.lit("<Set xmlns='urn:any'><PubmedArticle><MedlineCitation>"), pmid, article, mesh, F.lit("</MedlineCitation>"), ids, F.lit("</PubmedArticle></Set>"))
+    got = article_xml.parse_documents(rows.select(F.col("idx").alias("pos"), xml.alias("xml")))
+    r = "record."
+    return got.select(
+        F.col("pos").alias("idx"), r + "pmid", r + "title", F.sha2(F.col(r + "abstract"), 256).alias("abstract_sha256"), r + "publication_year", r + "publication_month", r + "doi", r + "pmc_id", r + "language",
+        F.array_join(r + "publication_types", "|").alias("types"), F.array_join(r + "mesh_terms", "|").alias("mesh"), F.array_join(r + "keywords", "|").alias("keywords"), "warning",
+    )
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/files/{uuid.uuid4().hex}-{name}"
+
+
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as JSON lines, in two appends, and read again."""
+    rows, path = adapters.records(spark, sf_dir).select("idx", "pmid", "title", "abstract", "publication_year", "publication_types"), _folder(spark, "lines")
+    files.write_lines(rows.where("idx % 2 = 0"), path)
+    files.append_lines(rows.where("idx % 2 = 1"), path)
+    got = files.read_json_lines(spark, path, "idx long, pmid string, title string, abstract string, publication_year int, publication_types array<string>")
+    return got.select("idx", "pmid", "title", F.sha2("abstract", 256).alias("abstract_sha256"), "publication_year", F.array_join("publication_types", "|").alias("types"))
+
+
+def collection_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as one collection document and read again, in order."""
+    rows, path = adapters.records(spark, sf_dir).select("idx", "pmid", "title", "abstract", "publication_year", "doi", "publication_types"), _folder(spark, "collection")
+    files.collection_document(rows, {"query": "all", "total_match_count": 7, "requested_count": 5}).write.json(path)
+    got, header = files.read_collection(spark, path)
+    named = got.withColumn("place", got["idx"]).select("place", "pmid", "title", F.sha2("abstract", 256).alias("abstract_sha256"), "publication_year", "doi", F.array_join("publication_types", "|").alias("types"), F.size("keywords").alias("n_keywords"))
+    return named.crossJoin(F.broadcast(header.select("query", "retrieved_count")))  # the header has one row
+
+
+def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search and its batched fetches at a source that is simulated: as many matches as there are documents, ids 1000, 1003, ...;
+    it returns no record for every eleventh id and a broken one for every thirteenth."""
+    total = table(spark, sf_dir, "documents").count()
+    page, fetch = _simulated(total)
+    records_found, header = collect.collect(spark, "any", max(1, total - 3), page, fetch, f"simulated_{uuid.uuid4().hex[:8]}", 170)
+    h = [F.lit(header[k]).alias(k) for k in ("total_match_count", "requested_count", "retrieved_count")]
+    return records_found.select(F.col("idx").cast("long").alias("idx"), "pmid", "title", "publication_month", *h, F.lit(header["warnings"][-1]).alias("last_warning"))
+
+
+def _simulated(total: int):
+    def page(start: int, size: int) -> str:
+        return json.dumps({"esearchresult": {"count": str(total), "idlist": [str(1000 + 3 * i) for i in range(start, min(start + size, total))]}})
+
+    def fetch(ids: list[str]) -> str:
+        one = lambda i: "<PubmedArticle><Broken/></PubmedArticle>" if int(i) % 13 == 0 else f"<PubmedArticle><MedlineCitation><PMID>{i}</PMID><Article><ArticleTitle>Record {i}</ArticleTitle><Journal><JournalIssue><PubDate><Month>{int(i) % 12 + 1:02}</Month></PubDate></JournalIssue></Journal></Article></MedlineCitation></PubmedArticle>"
+        return "<Set>" + "".join(one(i) for i in ids if int(i) % 11) + "</Set>"
+
+    return page, fetch
+
+
+def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pmid"))
+    return records.row_counts(gold, table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("pmid")))
+
+
+def ready_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return service.mark_ready(adapters.records(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         normal_keys, content_keys, same_doi_pairs, same_title_year_groups, same_title_year_stars, block_sizes, block_chunks, fuzzy_links, key_components, duplicate_clusters, duplicate_stats, retraction_notes,
         knn_cosine, knn_pairs, routing, label_errors, span_grounding, semantic_flags, final_status, status_counts, finding_counts, review_lists, job_totals, json_repair, audit_verdicts, gold_and_predicted,
-        classification_report, requested_rows, missing_rows, cache_upsert, cache_lookup, page_fields, conversation_texts, benchmark_spans, prompts, record_order, stream_routing,
+        classification_report, requested_rows, missing_rows, cache_upsert, cache_lookup, page_fields, conversation_texts, benchmark_spans, prompts, record_order, stream_routing, key_clusters, xml_records, json_lines, collection_file, collected, row_counts, ready_stages,
     )
 }

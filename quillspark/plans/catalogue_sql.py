@@ -1,10 +1,13 @@
-"""SQL (DuckDB) of the catalogue's queries. Not in SQL: fuzzy links and what rests on them, JSON repair, the stream."""
+"""SQL (DuckDB) of the catalogue's queries. Not in SQL: fuzzy links and what rests on them, JSON repair."""
 
 from __future__ import annotations
 
 from quillspark.functions.rules import DIR_NEG, LABELS, MAGNITUDE, MESSAGES, SIG_NEG, SIG_POS, SKIP_TYPES
 from quillspark.functions.text import PROMPT_VERSION
+from quillspark.operators.duplicates import LABELS as LINKS
+from quillspark.operators.duplicates import MIXED, REASONS
 from quillspark.plans.adapters import answers_sql, records_sql
+from quillspark.plans.insights import prompt_parts
 
 MODEL = "openai:example"
 #: The accented letters of the documents, as base letter and combining mark.
@@ -91,7 +94,45 @@ t AS (SELECT i, j, s, row_number() OVER (PARTITION BY i ORDER BY round(s, 12) DE
 _GROUNDS = (("finding_direction", "m1"), ("statistical_significance", "m2"), ("clinical_meaningfulness", "m3"), ("main_claim", "m4"))
 _PART = "CASE WHEN text <> '' THEN concat_ws(': ', role, text) END"
 
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_BEFORE = [_quoted(p) for p in prompt_parts()]
+_PROMPT = " || ".join(x for pair in zip(_BEFORE, ("pmid", "coalesce(title, '')", "coalesce(abstract, '')", "replace(types, '|', ', ')", "'(none)'"), strict=False) for x in pair) + " || " + _BEFORE[-1]
+_WHICH = "CASE WHEN n_kinds > 1 THEN {mixed} WHEN kind = 'same_doi' THEN {same_doi} ELSE {same_title_year} END"
+_REASON, _DETAIL = (_WHICH.format(**{k: _quoted(REASONS[k][n]) for k in ("mixed", "same_doi", "same_title_year")}) for n in (0, 1))
+_RECORD_TEXT = "nullif(trim(title, ' ' || chr(9) || chr(10)), '')"
+_ABSTRACT_TEXT = f"CASE WHEN {_AB} <> '' THEN CASE WHEN idx % 3 = 0 THEN 'RESULTS: ' ELSE '' END || {_AB} WHEN abstract IS NOT NULL THEN CASE WHEN idx % 3 = 0 THEN 'RESULTS:' ELSE '' END END"
+
 SQL = {
+    "prompts": f"WITH r AS ({records_sql()}), p AS (SELECT idx, {_PROMPT} AS prompt FROM r) SELECT idx, length(prompt) AS n_chars, sha256(prompt) AS sha256 FROM p",
+    "stream_routing": f"WITH r AS ({records_sql()}) SELECT idx, pmid, {ROUTED}, sha256({_CANON}) AS input_hash FROM r",
+    "key_clusters": f"""WITH RECURSIVE {KEYED}, s AS ({DOI_STARS} UNION {TITLE_STARS}), e AS (SELECT i, j FROM s UNION SELECT j, i FROM s),
+        w AS (SELECT i AS idx, i AS root FROM e UNION SELECT e.j, w.root FROM w JOIN e ON e.i = w.idx), c AS (SELECT idx, min(root) AS root FROM w GROUP BY idx),
+        m AS (SELECT c.root, k.* FROM c JOIN k USING (idx)),
+        n AS (SELECT root, idx, 1 AS o, 'PMID ' || pmid || ': title mentions retraction (verify in PubMed)' AS note FROM m WHERE contains(lower(title), 'retract')
+          UNION ALL SELECT root, idx, 2, 'PMID ' || pmid || ': publication type includes ''Retracted Publication'' (verify replacement)' FROM m WHERE contains(lower(types), 'retract')),
+        n20 AS (SELECT root, string_agg(note, '; ' ORDER BY idx, o) AS notes FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY idx, o) AS nth FROM n) WHERE nth <= 20 GROUP BY root),
+        p AS (SELECT a.root, a.idx AS i, b.idx AS j, 1 AS o, 'same_doi' AS kind, a.pmid || '↔' || b.pmid || ': {LINKS["same_doi"]}' AS line FROM m a JOIN m b ON a.ndoi = b.ndoi AND a.idx < b.idx
+          UNION ALL SELECT a.root, a.idx, b.idx, 2, 'same_title_year', a.pmid || '↔' || b.pmid || ': {LINKS["same_title_year"]}' FROM m a JOIN m b ON a.ntitle = b.ntitle AND a.ntitle <> '' AND a.publication_year = b.publication_year AND a.idx < b.idx),
+        t AS (SELECT root, count(DISTINCT kind) AS n_kinds, min(kind) AS kind, string_agg(line, '; ' ORDER BY i, j, o) AS edge_evidence FROM p GROUP BY root),
+        g AS (SELECT root, count(*) AS n, string_agg(pmid, ',' ORDER BY idx) AS pmids FROM m GROUP BY root)
+        SELECT row_number() OVER (ORDER BY root) AS cluster_id, n, pmids, {_REASON} AS primary_reason, 'high' AS confidence, {_DETAIL} AS detail, edge_evidence, CASE WHEN n_kinds > 1 THEN {_quoted(MIXED)} END AS transitivity_note,
+          coalesce(notes, '') AS reviewer_notes FROM g JOIN t USING (root) LEFT JOIN n20 USING (root)""",
+    "xml_records": f"""WITH r AS ({records_sql()}), x AS (SELECT *, idx % 10 <> 9 AS fine FROM r)
+        SELECT idx, CASE WHEN fine THEN pmid END AS pmid, CASE WHEN fine THEN {_RECORD_TEXT} END AS title, CASE WHEN fine THEN sha256({_ABSTRACT_TEXT}) END AS abstract_sha256, CASE WHEN fine THEN publication_year END AS publication_year,
+          CASE WHEN fine THEN [1, 2, 3, 4, 5, NULL, NULL, 12, NULL, 7][idx % 10 + 1] END AS publication_month, CASE WHEN fine THEN coalesce(nullif(trim(doi), ''), 'first') END AS doi, CASE WHEN fine THEN 'P' || pmid END AS pmc_id, CASE WHEN fine THEN language END AS language,
+          CASE WHEN fine THEN types END AS types, CASE WHEN fine THEN 'A / b' END AS mesh, CASE WHEN fine THEN 'k' END AS keywords, CASE WHEN NOT fine THEN 'skipped record (no id): no id' END AS warning FROM x""",
+    "json_lines": f"WITH r AS ({records_sql()}) SELECT idx, pmid, title, sha256(abstract) AS abstract_sha256, publication_year, types FROM r",
+    "collection_file": f"WITH r AS ({records_sql()}) SELECT row_number() OVER (ORDER BY idx) - 1 AS place, pmid, title, sha256(abstract) AS abstract_sha256, publication_year, doi, types, 0 AS n_keywords, 'all' AS query, (SELECT count(*)::INT FROM r) AS retrieved_count FROM r",
+    "collected": """WITH n AS (SELECT count(*) AS total FROM documents), w AS (SELECT total, unnest(range(total - 3)) AS idx FROM n), i AS (SELECT total, idx, 1000 + 3 * idx AS id FROM w),
+        f AS (SELECT *, id % 11 <> 0 AND id % 13 <> 0 AS fine FROM i)
+        SELECT idx, CAST(id AS VARCHAR) AS pmid, 'Record ' || id AS title, (id % 12 + 1)::INT AS publication_month, total::INT AS total_match_count, (total - 3)::INT AS requested_count, (count(*) OVER ())::INT AS retrieved_count,
+          'The search matches ' || total || ' records, more than the ' || (total - 3) || ' asked for; only the first ' || (total - 3) || ' are returned.' AS last_warning FROM f WHERE fine""",
+    "row_counts": "WITH g AS (SELECT DISTINCT doc_id FROM labels), p AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 <> 0) SELECT (SELECT count(*) FROM g) AS n_gold, (SELECT count(*) FROM p) AS n_predicted, (SELECT count(*) FROM g JOIN p USING (doc_id)) AS n_common",
+    "ready_stages": f"WITH r AS ({records_sql()}) SELECT pmid, 'ready' AS stage FROM r",
     "normal_keys": f"WITH {KEYED} SELECT idx, ndoi, ntitle, prefix, bkey, sha256(nabstract) AS abstract_sha256, length(nabstract)::INT AS abstract_chars FROM k",
     "content_keys": f"""WITH r AS ({records_sql()}), c AS (SELECT idx, pmid, {_CANON} AS canon, {_EMBED} AS emb FROM r)
         SELECT idx, sha256(canon) AS input_hash, sha256(pmid || '|{PROMPT_VERSION}|{MODEL}|' || sha256(canon)) AS cache_key, sha256(emb) AS embedding_text_sha256, length(canon) > 12000 AS too_long FROM c""",

@@ -26,15 +26,19 @@ MINIMAL_STATUS, MINIMAL_REASON = "validated_but_flagged", "prefilter_minimal_unc
 Model = Callable[[str], tuple[str, int, int]]
 
 
+def prompt_parts() -> tuple[str, ...]:
+    """What stands before the id, title, abstract, types and keywords of a request, and after them."""
+    labels = "\n".join(f"- {k}: {' | '.join(v)}" for k, v in rules.LABELS.items())
+    shape = json.dumps({"pmid": "<id>", **{f: {"value": "<label>", "confidence": 0.0, "evidence_spans": ["<quote>"]} for f in FIELDS}, "review_flags": []})
+    return ("Label this record from its title and abstract alone.\n\nPMID: ", "\nTitle: ", "\nAbstract: ", "\nPublication types: ", "\nKeywords: ", f"\n\nLabels:\n{labels}\n\nAnswer with one JSON object of this shape, quotes verbatim: {shape}")
+
+
 def user_prompt(pmid: Column, title: Column, abstract: Column, types: Column, keywords: Column) -> Column:
     """The request for one record: its fields, the labels allowed, the answer's shape."""
     listed = lambda c: F.when(F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0, F.array_join(c, ", ")).otherwise(F.lit("(none)"))
-    labels = "\n".join(f"- {k}: {' | '.join(v)}" for k, v in rules.LABELS.items())
-    shape = json.dumps({"pmid": "<id>", **{f: {"value": "<label>", "confidence": 0.0, "evidence_spans": ["<quote>"]} for f in FIELDS}, "review_flags": []})
-    return F.concat(
-        F.lit("Label this record from its title and abstract alone.\n\nPMID: "), pmid, F.lit("\nTitle: "), F.coalesce(title, F.lit("")), F.lit("\nAbstract: "), F.coalesce(abstract, F.lit("")),
-        F.lit("\nPublication types: "), listed(types), F.lit("\nKeywords: "), listed(keywords), F.lit(f"\n\nLabels:\n{labels}\n\nAnswer with one JSON object of this shape, quotes verbatim: {shape}"),
-    )
+    *before, after = map(F.lit, prompt_parts())
+    fields = (pmid, F.coalesce(title, F.lit("")), F.coalesce(abstract, F.lit("")), listed(types), listed(keywords))
+    return F.concat(*(c for pair in zip(before, fields, strict=True) for c in pair), after)
 
 
 def route(records: DataFrame) -> DataFrame:
@@ -96,6 +100,11 @@ def finish(rows: DataFrame, threshold: float = 0.5, most_chars: int | None = CAN
     )
 
 
+def repair_prompt(raw: str) -> str:
+    """The request for an answer that doesn't parse: raw, which comes last, as one JSON object."""
+    return f"Give this answer as the one JSON object that was asked for, without any other text and without new content:\n\n{raw}"
+
+
 def audit_prompt(pmid: Column, title: Column, abstract: Column, extraction: Column) -> Column:
     shape = json.dumps({"supported": True, **dict.fromkeys(FIELDS, "supported | weakly_supported | unsupported"), "notes": ["<reason>"]})
     return F.concat(

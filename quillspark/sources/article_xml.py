@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import re
 import xml.etree.ElementTree as ET
@@ -55,7 +56,7 @@ def month(text: str | None) -> int | None:
     s = (text or "").strip()
     if s.isdigit():
         return int(s) if 1 <= int(s) <= 12 else None
-    return MONTHS.index(s[:3].lower()) + 1 if s[:3].lower() in MONTHS and s.isalpha() else None
+    return MONTHS.index(s[:3].lower()) + 1 if s[:3].lower() in MONTHS else None
 
 
 def _int(text: str | None) -> int | None:
@@ -101,6 +102,23 @@ def in_band_error(text: str) -> str | None:
     return ("; ".join(s for s in said if s) or "unknown error") if re.search(r"(?i)<ERROR\b", text) else None
 
 
+def record_elements(text: str) -> Iterator[ET.Element]:
+    """The record elements of a document one after another; each, and what stands before it, is dropped when the next is asked for."""
+    depth, holders = 0, []
+    for event, el in ET.iterparse(io.BytesIO(text.encode()), events=("start", "end")):
+        if event == "start":
+            holders.append(el)
+            depth += _name(el) == "PubmedArticle"
+            continue
+        holders.pop()
+        if _name(el) == "PubmedArticle":
+            depth -= 1
+            if depth == 0:
+                yield el
+                for holder in holders:
+                    holder.clear()
+
+
 def parse_documents(docs: DataFrame, text_col: str = "xml", place: str = "pos") -> DataFrame:
     """(pos, nth, record, warning) of each record element of each document (pos, xml); record or warning is null."""
 
@@ -108,16 +126,16 @@ def parse_documents(docs: DataFrame, text_col: str = "xml", place: str = "pos")
         for pdf in frames:
             rows = []
             for pos, text in zip(pdf[place], pdf[text_col], strict=True):
+                own: list[tuple] = []
                 try:
-                    root = ET.fromstring(text or "")
-                except ET.ParseError as error:
-                    rows.append((pos, 0, None, f"document not readable: {error}"))
-                    continue
-                for n, el in enumerate(e for e in root.iter() if _name(e) == "PubmedArticle"):
-                    try:
-                        rows.append((pos, n, json.dumps(record(el)), None))
-                    except ValueError as error:
-                        rows.append((pos, n, None, f"skipped record {fallback_id(el) or '(no id)'}: {error}"))
+                    for n, el in enumerate(record_elements(text or "")):
+                        try:
+                            own.append((pos, n, json.dumps(record(el)), None))
+                        except ValueError as error:
+                            own.append((pos, n, None, f"skipped record {fallback_id(el) or '(no id)'}: {error}"))
+                except ET.ParseError as error:  # a document counts as a whole
+                    own = [(pos, 0, None, f"document not readable: {error}")]
+                rows += own
             yield pd.DataFrame(rows, columns=["pos", "nth", "record", "warning"])
 
     out = docs.select(place, text_col).mapInPandas(run, "pos long, nth int, record string, warning string")

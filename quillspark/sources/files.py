@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import os
+import textwrap
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,10 +45,30 @@ def collection_document(rows: DataFrame, header: dict) -> DataFrame:
     return rows.agg(inner.alias("articles"), F.count("*").cast("int").alias("retrieved_count")).select(*(F.lit(v).alias(k) for k, v in header.items()), "retrieved_count", "articles")
 
 
+def write_collection(rows: DataFrame, header: dict, path: str) -> None:
+    """The document of a collection as a file of this machine, indented, nulls kept; records come one by one."""
+    fields = [c for c in rows.columns if c != "idx"]
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("{\n" + "".join(f"  {json.dumps(k)}: {json.dumps(v, ensure_ascii=False)},\n" for k, v in header.items()) + '  "articles": [')
+        for n, r in enumerate(rows.orderBy("idx").select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("r")).toLocalIterator()):
+            f.write(("," if n else "") + "\n" + textwrap.indent(json.dumps(json.loads(r.r), indent=2, ensure_ascii=False), "    "))
+        f.write("\n  ]\n}\n")
+
+
+def create_cache(spark: SparkSession, path: str) -> None:
+    """An empty cache, unless there is one."""
+    if not _exists(spark, path):
+        spark.createDataFrame([], "k string, v string").write.parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """(k, v); an absent cache is empty. The path is looked up by Hadoop's file systems."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not _exists(spark, path):
         return spark.createDataFrame([], "k string, v string")
     return spark.read.schema("k string, v string").parquet(path)

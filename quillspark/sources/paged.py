@@ -29,7 +29,7 @@ def rate(has_key: bool) -> float:
 
 @dataclass
 class RateLimiter:
-    """At most `per_second` calls a second in this process."""
+    """At most `per_second` calls a second in this process (collect.shared_rate: so that several together keep to a rate)."""
 
     per_second: float
     clock: Callable[[], float] = time.monotonic
@@ -82,7 +82,7 @@ def search_page(text: str) -> tuple[int, list[str]]:
     try:
         found = json.loads(text)["esearchresult"]
         ids = found.get("idlist")
-        return int(found.get("count", 0)), [str(i) for i in ids] if isinstance(ids, list) else [ids] if isinstance(ids, str) else []
+        return int(found.get("count", 0)), [str(i) for i in ids] if isinstance(ids, list) else [] if ids is None else [str(ids)]
     except (ValueError, KeyError, TypeError, AttributeError) as error:
         raise SourceError(f"search answer not readable: {error}") from error
 
