@@ -5,7 +5,12 @@ neighbours in the sample lie there (a share RECALL of them). Every vector goes t
 bounded size, so copies of one vector spread over many. In each probed part vectors are rotated and laid out in blocks of columns.
 A query's partial distance over the first columns, scaled to all, is tested against the distance of its K-th best so far: where the
 hypothesis that the vector is nearer is rejected, it is abandoned; what survives all blocks is measured exactly, in double
-precision, on the original vectors. The best of all parts are merged.
+precision, on the original vectors. Vectors are scanned by batches in the order of their first columns, so that the bound tightens
+from batch to batch. The best of all parts are merged.
+
+A part's queries come to it. Only the vectors of a list that more than QUERIES probe are copied, once for each block of its queries;
+vectors of lists that none probes don't move. So a task holds at most about PART * QUERIES pairs. Lists grow with the square root of
+the vectors, up to a share of the sample; beyond that they are cut into more parts.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite numbers take no part, neither do null ids; vectors of
 different dimension aren't compared; a query isn't its own neighbour; of equal distances the smaller id is nearer; rows that repeat
@@ -24,10 +29,12 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.base import spool, table
 
-#: Vectors in the sample, lists at most, and the share of neighbours in the sample that probed lists must hold.
-SAMPLE, LISTS, RECALL = 8192, 1024, 0.97
-#: Vectors and queries that meet in one task, columns in the first block, and the strictness of the test (in standard errors).
-PART, QUERIES, COLUMNS, STRICT = 2048, 4096, 16, 2.6
+#: Vectors in the sample, vectors of the sample for each list at least, and the share of neighbours in the sample that probed lists
+#: must hold.
+SAMPLE, PER_LIST, RECALL = 8192, 4, 0.97
+#: Vectors and queries that meet in one task, vectors in one batch of a scan, columns in the first block, and the strictness of the
+#: test (in standard errors).
+PART, QUERIES, BATCH, COLUMNS, STRICT = 2048, 4096, 512, 16, 2.6
 
 
 def valid(v: str) -> Column:
@@ -42,7 +49,7 @@ class Index:
         rng = np.random.default_rng(seed)
         dim = sample.shape[1]
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0].astype(np.float32)
-        n = int(max(1, min(LISTS, round(total**0.5), len(sample) // 8)))
+        n = int(max(1, min(round(total**0.5), len(sample) // PER_LIST)))
         x = sample.astype(np.float32)
         self.centroids = x[np.sort(rng.choice(len(x), n, replace=False))].copy()
         for _ in range(8):
@@ -80,20 +87,29 @@ def scan_part(ids: np.ndarray, x: np.ndarray, asks: np.ndarray, q: np.ndarray, r
         alive = np.flatnonzero(ids != asks[i])
         if not len(alive):
             continue
-        partial = first[i, alive]
         if len(alive) > k:
-            likely = alive[np.argpartition(partial, k - 1)[:k]]
-            bound = float(((xr[likely] - qr[i]) ** 2).sum(1).max()) + float(slack[i])
-            for b in range(1, len(edges)):
-                done = edges[b]
-                limit = bound if done == dim else bound * done / dim * (1 + STRICT / done**0.5) ** 2 + float(slack[i])
-                keep = partial <= limit
-                alive, partial = alive[keep], partial[keep]
-                if done == dim or not len(alive):
-                    break
-                partial = partial + ((blocks[b][alive] - qr[i, done : edges[b + 1]]) ** 2).sum(1)
+            order = alive[np.argsort(first[i, alive], kind="stable")]
+            likely = order[:k]
+            best = np.sort(((xr[likely] - qr[i]) ** 2).sum(1))  # squared distances of the k best so far
+            found = [likely]
+            for at in range(k, len(order), BATCH):
+                batch = order[at : at + BATCH]
+                partial, bound = first[i, batch], float(best[-1]) + float(slack[i])
+                for b in range(1, len(edges)):
+                    done = edges[b]
+                    limit = bound if done == dim else bound * done / dim * (1 + STRICT / done**0.5) ** 2 + float(slack[i])
+                    keep = partial <= limit
+                    batch, partial = batch[keep], partial[keep]
+                    if done == dim or not len(batch):
+                        break
+                    partial = partial + ((blocks[b][batch] - qr[i, done : edges[b + 1]]) ** 2).sum(1)
+                if len(batch):
+                    found.append(batch)
+                    best = np.sort(np.concatenate([best, partial]))[:k]
+            alive = np.concatenate(found)
             if len(alive) > 4 * k:
-                alive = alive[partial <= np.partition(partial, k - 1)[k - 1] + 2 * slack[i]]
+                whole = ((xr[alive] - qr[i]) ** 2).sum(1)
+                alive = alive[whole <= np.partition(whole, k - 1)[k - 1] + 2 * slack[i]]
         exact = np.sqrt(((x[alive] - q[i]) ** 2).sum(1))
         best = np.lexsort((ids[alive], exact))[:k]
         yield i, ids[alive][best], exact[best]
@@ -132,12 +148,13 @@ def _search_dim(rows: DataFrame, total: int, k: int) -> DataFrame:
     sample = rows.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).select("v").collect()
     index = Index(np.array([r.v for r in sample]), total, k)
     vectors = spool(_placed(rows.select("id", "v"), index, 1), "vectors")
-    parts = spool(vectors.groupBy("list").agg(F.ceil(F.count("*") / PART).alias("parts")), "parts")  # at most LISTS rows
     asking = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
-    blocks = asking.count() // QUERIES + 1
-    asked = _placed(asking, index, index.probes).join(F.broadcast(parts), "list")
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    held = vectors.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("id", "v"), "parts")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    probing = spool(_placed(asking, index, index.probes), "probing")
+    sizes = vectors.groupBy("list").agg(F.count("*").alias("n"))  # a row for each list: at most SAMPLE / PER_LIST
+    parts = spool(sizes.join(probing.groupBy("list").agg(F.count("*").alias("asked")), "list", "left").select("list", F.ceil(F.col("n") / PART).alias("parts"), F.ceil(F.coalesce("asked", F.lit(0)) / QUERIES).alias("blocks")), "parts")
+    # A list that more than QUERIES ask has as many blocks of queries; only its own vectors are copied to them.
+    asked = probing.join(F.broadcast(parts), "list").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    held = vectors.join(F.broadcast(parts.where("blocks > 0")), "list").withColumn("part", F.pmod(F.xxhash64("id", "v"), "parts")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rotation, names = index.rotation, ["list", "part", "block"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -46,6 +46,25 @@ def test_neighbours_recall_and_scores(spark):
     assert [v for v, _ in got[1500]] == list(range(1501, 1511))  # copies: ties to the smaller id
 
 
+def test_recall_on_the_given_vectors(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "QUERIES", 3)  # blocks of queries in most lists
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect()]
+    rows = [(i, v) for i, v in rows if i is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for k in np.flatnonzero(ids % 20 == 0):
+        d = np.sqrt(((x - x[k]) ** 2).sum(1))
+        d[k] = np.inf
+        near = ids[np.lexsort((ids, d))[:10]].tolist()
+        hits += len(got[ids[k]] & set(near))
+        total += len(near)
+    assert total >= 900 and hits / total >= 0.93
+
+
 def test_neighbours_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [float("inf"), 1.0]), (6, [1.0, 0.5]), (7, []), (8, [1.0, 0.0, 0.0]), (None, [1.0, 1.0]), (9, [1.0, 0.5]), (0, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
