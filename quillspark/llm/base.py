@@ -23,6 +23,12 @@ def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def bucket_count(rows: DataFrame, text: str = "text", size: int = 8_000_000) -> int:
+    """Buckets for an exchange of what the texts give, so that each stands for about `size` bytes of text: a power of two."""
+    total = rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
+    return 1 << min(20, max(6, (total // size).bit_length()))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset and everything runs in one process
     (tests) a folder of this machine is set; on a cluster that is an error."""

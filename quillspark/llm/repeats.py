@@ -9,8 +9,9 @@ string occurs. So equal strings meet where their anchors meet, and a text falls
    suffixes that start there form an array; a stack scan over the common prefixes of neighbours builds its interval tree. Intervals
    whose occurrences have different left neighbours (or reach a stretch's edge) are maximal repeats; they are put out with all
    their occurrences.
-   An anchor with more than MOST / 2 stretches (found by counting in the buckets that have more than MOST) would be too much for one
-   task; its strings are hashed instead, one row a string, counted with map-side sums, and those that occur again are spans.
+   An anchor with more than MANY different contexts (or, in the buckets that have more than MOST stretches, with more than MOST / 2
+   stretches) would be too much for one task; its strings are hashed instead, one row a string, counted with map-side sums, and those
+   that occur again are spans.
 3. Spans are joined with the texts, merged and cut out.
 
 Defined results: a null or empty text loses nothing; texts under LENGTH bytes have no such string; matches never cross texts;
@@ -27,18 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.base import few_rows, spool, table, text_rows
+from quillspark.llm.base import bucket_count, discard, few_rows, frugal, frugal_group, spool, table, text_rows
 from quillspark.llm.shingles import mix
 
 #: Bytes of a gram; texts are hashed in pieces of about so many bytes, which must be under 2**24.
 GRAM, PIECE = 32, 1_500_000
 
-#: Stretches that one task may get.
-MOST = 2_000_000
+#: Stretches that one task may get, and different contexts of one anchor.
+MOST, MANY = 2_000_000, 20_000
 
 #: ctx, more: the two halves of the hash of a context.
 ENTRY = np.dtype([("anchor", "<u8"), ("ctx", "<u8"), ("more", "<u8"), ("w", "u1"), ("off", "u1"), ("flag", "u1"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<u4")])
-FOUND = "doc long, tag int, at long, stop long, w int, off int, anchor long"
+FOUND = "doc long, tag int, at long, stop long, w int, off int, anchor long, many boolean"
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -145,7 +146,7 @@ def _dealt(rows: DataFrame, length: int, buckets: int) -> DataFrame:
                 held, size = [], 0
         yield drain(held)
 
-    return rows.mapInArrow(run, "bucket int, entries binary")
+    return rows.mapInArrow(frugal(run), "bucket int, entries binary")
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[list, list, list[bytes], list[int]]]:
@@ -182,13 +183,15 @@ def _met(length: int):
         several = _and_first(anchor[1:] == anchor[:-1], len(kinds))
         several = several | np.append(several[1:], False)[: len(kinds)]
         kinds = kinds[several]
+        _, group, held = np.unique(kinds["anchor"], return_inverse=True, return_counts=True)
+        many = held[group] > MANY if len(kinds) else np.zeros(0, bool)
         at = np.concatenate([spans["at"], known["at"], kinds["at"]]).astype(np.int64)
         stop = np.concatenate([spans["ctx"].astype(np.int64), known["at"].astype(np.int64) + known["w"] - 1 + length, kinds["at"].astype(np.int64) + kinds["w"] - 1 + length])
         n = len(spans) + len(known)
         return pa.table({
             "doc": np.concatenate([x["doc"] for x in (spans, known, kinds)]), "tag": np.concatenate([x["tag"] for x in (spans, known, kinds)]), "at": at, "stop": stop,
             "w": np.concatenate([np.zeros(n, np.int32), kinds["w"].astype(np.int32)]), "off": np.concatenate([np.zeros(n, np.int32), kinds["off"].astype(np.int32)]),
-            "anchor": np.concatenate([np.zeros(n, np.int64), kinds["anchor"].view(np.int64)]),
+            "anchor": np.concatenate([np.zeros(n, np.int64), kinds["anchor"].view(np.int64)]), "many": np.concatenate([np.zeros(n, bool), many]),
         })
 
     return run
@@ -317,15 +320,23 @@ def _hashed(rows: DataFrame, hot: DataFrame, length: int) -> DataFrame:
     return strings.join(again, ["h1", "h2"], "left_semi").select("doc", "tag", "at", (F.col("at") + length).alias("stop"))
 
 
-def repeated_spans(rows: DataFrame, length: int, n_docs: int) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     """(doc, tag, at, stop) in bytes, overlapping, of all repeated strings of rows (key long, tag int, text)."""
-    buckets = 1 << min(20, max(6, (n_docs // 4000).bit_length()))
+    buckets = bucket_count(rows)
     dealt, hot = spool(_dealt(rows, length, buckets), "dealt"), None
     big = spool(dealt.groupBy("bucket").agg(F.sum(F.length("entries") / ENTRY.itemsize).alias("n")).where(F.col("n") > MOST).select("bucket"), "big")
     if not big.isEmpty():
         dealt, hot = _apart(dealt, big, buckets)
-    found = spool(dealt.groupBy("bucket").applyInArrow(_met(length), FOUND), "found")
-    asked = found.where("w > 0").groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "at", "stop", "w", "off")).alias("asked"))
+    found = spool(dealt.groupBy("bucket").applyInArrow(frugal_group(_met(length)), FOUND), "found")
+    if hot is None:
+        discard(dealt, big)
+    crowded = found.where("many").select("doc", "tag", "at", "w", F.lit(0).alias("flag"))
+    if not crowded.isEmpty():
+        crowded = _hashed(rows, crowded, length)
+        hot = _hashed(rows, hot, length).union(crowded) if hot is not None else crowded
+    elif hot is not None:
+        hot = _hashed(rows, hot, length)
+    asked = found.where("w > 0 and not many").groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "at", "stop", "w", "off")).alias("asked"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -337,16 +348,16 @@ def repeated_spans(rows: DataFrame, length: int, n_docs: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.int64()), ("w", pa.int32()), ("off", pa.int32()), ("bytes", pa.binary())]))
 
     texts = rows.join(asked, (rows.key == asked.doc) & (rows.tag == asked.tag)).select(rows.key, rows.tag, rows.text, "asked").dropDuplicates(["key", "tag"])
-    contexts = texts.mapInArrow(cut, "anchor long, doc long, tag int, at long, w int, off int, bytes binary")
-    differing = contexts.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(buckets))).applyInArrow(_compared(length), "doc long, tag int, at long, stop long")
+    contexts = texts.mapInArrow(frugal(cut), "anchor long, doc long, tag int, at long, w int, off int, bytes binary")
+    differing = contexts.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(buckets))).applyInArrow(frugal_group(_compared(length)), "doc long, tag int, at long, stop long")
     spans = found.where("w = 0").select("doc", "tag", "at", "stop").union(differing)
-    return spans if hot is None else spans.union(_hashed(rows, hot, length))
+    return spans if hot is None else spans.union(hot)
 
 
 def cut_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, spans array of at and stop, merged and in order, kept binary) for every row of docs."""
     rows = text_rows(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col), F.xxhash64("text")).alias("key"), F.hash("text").alias("tag"), "text")
-    spans = repeated_spans(rows.select("key", "tag", "text"), length, docs.count())
+    spans = repeated_spans(rows.select("key", "tag", "text"), length)
     spans = spans.groupBy("doc", F.col("tag").alias("t")).agg(F.collect_list(F.struct("at", "stop")).alias("spans"))
     joined = rows.join(spans, (rows.key == spans.doc) & (rows.tag == spans.t), "left").select("id", "text", "spans")
 
@@ -368,7 +379,7 @@ def cut_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text
                     sizes.append(len(text))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(merged, pa.list_(pa.struct([("at", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "spans", "kept"])
 
-    return joined.mapInArrow(run, f"{id_col} long, n_bytes long, spans array<struct<at:long,stop:long>>, kept binary")
+    return joined.mapInArrow(frugal(run), f"{id_col} long, n_bytes long, spans array<struct<at:long,stop:long>>, kept binary")
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -318,9 +318,10 @@ def brute_cut(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("seed", "most"), [(1, 2_000_000), (2, 2_000_000), (1, 2), (2, 8)])
-def test_cut_repeats(docs, monkeypatch, seed, most):
+@pytest.mark.parametrize(("seed", "most", "many"), [(1, 2_000_000, 20_000), (2, 2_000_000, 20_000), (1, 2, 20_000), (2, 8, 20_000), (3, 2_000_000, 1), (3, 8, 2)])
+def test_cut_repeats(docs, monkeypatch, seed, most, many):
     monkeypatch.setattr(repeats, "MOST", most)
+    monkeypatch.setattr(repeats, "MANY", many)
     rng = random.Random(seed)
     word = lambda n: "".join(rng.choice("abcdefghé ") for _ in range(n))
     passages = [word(n) for n in (150, 198, 199, 200, 201, 260, 900)]
