@@ -300,7 +300,7 @@ def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     page, fetch = _simulated(total)
     records_found, header = collect.collect(spark, "any", max(1, total - 3), page, fetch, f"simulated_{uuid.uuid4().hex[:8]}", 170)
     h = [F.lit(header[k]).alias(k) for k in ("total_match_count", "requested_count", "retrieved_count")]
-    return records_found.select(F.col("idx").cast("long").alias("idx"), "pmid", "title", "publication_month", *h, F.lit(header["warnings"][-1]).alias("last_warning"))
+    return records_found.select(F.col("idx").cast("long").alias("idx"), "pmid", "title", "publication_month", *h, F.lit(header["notice"]).alias("notice"))
 
 
 def _simulated(total: int):

@@ -130,7 +130,7 @@ SQL = {
     "collected": """WITH n AS (SELECT count(*) AS total FROM documents), w AS (SELECT total, unnest(range(total - 3)) AS idx FROM n), i AS (SELECT total, idx, 1000 + 3 * idx AS id FROM w),
         f AS (SELECT *, id % 11 <> 0 AND id % 13 <> 0 AS fine FROM i)
         SELECT idx, CAST(id AS VARCHAR) AS pmid, 'Record ' || id AS title, (id % 12 + 1)::INT AS publication_month, total::INT AS total_match_count, (total - 3)::INT AS requested_count, (count(*) OVER ())::INT AS retrieved_count,
-          'The search matches ' || total || ' records, more than the ' || (total - 3) || ' asked for; only the first ' || (total - 3) || ' are returned.' AS last_warning FROM f WHERE fine""",
+          'The search matches ' || total || ' records, more than the ' || (total - 3) || ' asked for; only the first ' || (total - 3) || ' are returned.' AS notice FROM f WHERE fine""",
     "row_counts": "WITH g AS (SELECT DISTINCT doc_id FROM labels), p AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 <> 0) SELECT (SELECT count(*) FROM g) AS n_gold, (SELECT count(*) FROM p) AS n_predicted, (SELECT count(*) FROM g JOIN p USING (doc_id)) AS n_common",
     "ready_stages": f"WITH r AS ({records_sql()}) SELECT pmid, 'ready' AS stage FROM r",
     "normal_keys": f"WITH {KEYED} SELECT idx, ndoi, ntitle, prefix, bkey, sha256(nabstract) AS abstract_sha256, length(nabstract)::INT AS abstract_chars FROM k",

@@ -118,7 +118,7 @@ def search(spark: SparkSession, name: str, page: Page, most: int, size: int = PA
 
 def collect(spark: SparkSession, query: str, count: int, page: Page, fetch: Fetch, name: str = "record_search", size: int = PAGE) -> tuple[DataFrame, dict]:
     """(records with idx in the order of the search, header): search, fetch in batches, parse; a record that comes twice counts as the
-    last. Warnings: records that can't be read, ids that didn't come, matches beyond the count."""
+    last. Warnings: records that can't be read, ids that didn't come; a notice, if more match than are asked for."""
     total, ids = search(spark, name, page, count, size)
     ids = written(ids, "ids")
     spark.dataSource.register(fetch_source(f"{name}_fetch", checked(fetch)))
@@ -128,12 +128,11 @@ def collect(spark: SparkSession, query: str, count: int, page: Page, fetch: Fetc
     rows = parsed.where("record is not null").select((F.col("pos") * 1_000_000 + F.col("nth")).alias("at"), "record.*")
     found, missing = in_request_order(ids, rows, order="at")
     records = written(found.drop("at").withColumnRenamed("pos", "idx"), "records")
-    warnings = [r.warning for r in parsed.where("warning is not null").orderBy("pos", "nth").limit(MOST_WARNINGS).collect()]
+    warnings = [r.warning for r in parsed.where("warning is not null").orderBy("pos", "nth").limit(MOST_WARNINGS - 1).collect()]
     gone = missing_preview(missing).first()
     if gone.n_missing:
         warnings.append(f"{gone.n_missing} records were not returned: {gone.preview}")
-    notice = cap_notice(total, count)
-    return records, {"query": query, "total_match_count": total, "requested_count": count, "retrieved_count": records.count(), "warnings": (warnings + ([notice] if notice else []))[:MOST_WARNINGS]}
+    return records, {"query": query, "total_match_count": total, "requested_count": count, "retrieved_count": records.count(), "warnings": warnings, "notice": cap_notice(total, count)}
 
 
 def checked(fetch: Fetch) -> Fetch:

@@ -43,7 +43,7 @@ def test_collect(spark):
     fetch = lambda ids: "<S>" + "".join(map(xml, reversed([i for i in ids if i != "7"]))) + "<PubmedArticle><MedlineCitation/></PubmedArticle></S>"
     rows, header = collect.collect(spark, "q", 12, pages_of([str(i) for i in range(20)]), fetch, "small", 5)
     assert [(r.pmid, r.title) for r in rows.orderBy("idx").collect()] == [(str(i), f"T{i}") for i in range(12) if i != 7]
-    assert header["total_match_count"] == 20 and header["retrieved_count"] == 11 and len(header["warnings"]) == 3 and header["warnings"][1] == "1 records were not returned: 7"
+    assert header["total_match_count"] == 20 and header["retrieved_count"] == 11 and len(header["warnings"]) == 2 and "more than the 12" in header["notice"] and header["warnings"][1] == "1 records were not returned: 7"
     with pytest.raises(Exception, match="out of order"):
         collect.collect(spark, "q", 3, pages_of(["1"]), lambda ids: "<ERROR>out of order</ERROR>", "failing", 5)
     empty, header = collect.collect(spark, "q", 3, pages_of([]), fetch, "empty", 5)
