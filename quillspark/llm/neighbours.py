@@ -5,7 +5,7 @@ neighbours in the sample lie there (a share RECALL of them). Every vector goes t
 bounded size, so copies of one vector spread over many. In each probed part vectors are rotated and laid out in blocks of columns.
 A query's partial distance over the first columns, scaled to all, is tested against the distance of its K-th best so far: where the
 hypothesis that the vector is nearer is rejected, it is abandoned; what survives all blocks is measured exactly, in double
-precision, on the original vectors. Vectors are scanned by batches in the order of their first columns, so that the bound tightens
+precision, on the original vectors. A query whose lists hold fewer than K others probes on until they do. Vectors are scanned by batches in the order of their first columns, so that the bound tightens
 from batch to batch. The best of all parts are merged.
 
 A part's queries come to it. Only the vectors of a list that more than QUERIES probe are copied, once for each block of its queries;
@@ -115,8 +115,9 @@ def scan_part(ids: np.ndarray, x: np.ndarray, asks: np.ndarray, q: np.ndarray, r
         yield i, ids[alive][best], exact[best]
 
 
-def _placed(rows: DataFrame, index: Index, probes: int) -> DataFrame:
-    """(id, v binary of doubles, list): each vector with its nearest `probes` lists."""
+def _placed(rows: DataFrame, index: Index, probes: int, held: np.ndarray | None = None) -> DataFrame:
+    """(id, v binary of doubles, list): each vector with its nearest `probes` lists; with as many more as hold `least` vectors, a third
+    column, where held has the number of vectors in each list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,9 +125,14 @@ def _placed(rows: DataFrame, index: Index, probes: int) -> DataFrame:
                 for at in range(0, b.num_rows, 1000):
                     part = b.slice(at, 1000)
                     x = np.array(part.column(1).to_pylist(), np.float64)
-                    lists = index.order(x, probes)
-                    raw = [v.tobytes() for v in x for _ in range(lists.shape[1])]
-                    yield pa.RecordBatch.from_pydict({"id": np.repeat(np.array(part.column(0)), lists.shape[1]), "v": pa.array(raw, pa.binary()), "list": lists.ravel().astype(np.int32)})
+                    lists = index.order(x, probes if held is None else len(index.centroids))
+                    taken = np.full(len(x), lists.shape[1])
+                    if held is not None:
+                        short = (np.cumsum(held[lists], axis=1) < part.column(2).to_numpy()[:, None]).sum(1)
+                        taken = np.minimum(np.maximum(probes, short + 1), taken)
+                    raw = [v for v, n in zip(map(np.ndarray.tobytes, x), taken.tolist(), strict=True) for _ in range(n)]
+                    lists = lists[np.arange(lists.shape[1])[None, :] < taken[:, None]]
+                    yield pa.RecordBatch.from_pydict({"id": np.repeat(np.array(part.column(0)), taken), "v": pa.array(raw, pa.binary()), "list": lists.astype(np.int32)})
 
     return rows.mapInArrow(run, "id long, v binary, list int")
 
@@ -148,9 +154,12 @@ def _search_dim(rows: DataFrame, total: int, k: int) -> DataFrame:
     sample = rows.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).select("v").collect()
     index = Index(np.array([r.v for r in sample]), total, k)
     vectors = spool(_placed(rows.select("id", "v"), index, 1), "vectors")
-    asking = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
-    probing = spool(_placed(asking, index, index.probes), "probing")
-    sizes = vectors.groupBy("list").agg(F.count("*").alias("n"))  # a row for each list: at most SAMPLE / PER_LIST
+    sizes = spool(vectors.groupBy("list").agg(F.count("*").alias("n")), "sizes")  # a row for each list: at most SAMPLE / PER_LIST
+    held = np.zeros(len(index.centroids), np.int64)
+    for r in sizes.collect():
+        held[r["list"]] = r["n"]
+    asking = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"), (F.count("*") + k).alias("least"))  # its own rows don't count
+    probing = spool(_placed(asking, index, index.probes, held), "probing")
     parts = spool(sizes.join(probing.groupBy("list").agg(F.count("*").alias("asked")), "list", "left").select("list", F.ceil(F.col("n") / PART).alias("parts"), F.ceil(F.coalesce("asked", F.lit(0)) / QUERIES).alias("blocks")), "parts")
     # A list that more than QUERIES ask has as many blocks of queries; only its own vectors are copied to them.
     asked = probing.join(F.broadcast(parts), "list").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))

@@ -65,6 +65,18 @@ def test_recall_on_the_given_vectors(spark, monkeypatch):
     assert total >= 900 and hits / total >= 0.93
 
 
+def test_lone_queries_probe_on(spark):
+    """Most vectors are copies, so that few lists are probed; queries far from all others still get ten neighbours."""
+    rng = np.random.default_rng(5)
+    far = 1000 * rng.standard_normal((4, 8))
+    x = np.concatenate([far, np.repeat(rng.standard_normal((3, 8)), 500, 0)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") < 4).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: len(v) for q, v in got.items()} == {0: 10, 1: 10, 2: 10, 3: 10} and all(q not in v for q, v in got.items())
+
+
 def test_neighbours_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [float("inf"), 1.0]), (6, [1.0, 0.5]), (7, []), (8, [1.0, 0.0, 0.0]), (None, [1.0, 1.0]), (9, [1.0, 0.5]), (0, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
