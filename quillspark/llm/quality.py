@@ -141,9 +141,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     return Model(style_of, weights, toxic, {"quality": labelled.good / labelled.n if style_of.fitted else 1.0, "toxic": labelled.bad / labelled.n if toxic.fitted else 0.0})
 
 
-def evidence(docs: DataFrame, model: Model, host: Column, path: Column) -> DataFrame:
-    """(doc_id, host, path, quality_ratio, toxic_ratio) for every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def evidence(docs: DataFrame, model: Model, host: Column, path: Column, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, host, path, quality_ratio, toxic_ratio) for every row; doc_id is what id_col holds."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -193,10 +193,12 @@ def posteriors(found: DataFrame, rates: dict[str, float]) -> DataFrame:
     return out.withColumns({f"p_{k}": _sigmoid(F.col(f"{k}_ratio") + _logit(F.col(f"path_{k}"))) for k in rates})
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, least_quality: float = 0.5, most_toxic: float = 0.5) -> DataFrame:
-    """(doc_id, host, path, ratios, rates, p_quality, p_toxic, keep) for every row of docs; rejected: low quality or toxic."""
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, least_quality: float = 0.5, most_toxic: float = 0.5, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, host, path, ratios, rates, p_quality, p_toxic, keep) for every row of docs; rejected: low quality or toxic.
+
+    Labels go by docs.doc_id; id_col names the column that tells rows apart in the result."""
     model = fit(docs, labels)
-    out = posteriors(spool(evidence(docs, model, host, path), "evidence"), model.rates)
+    out = posteriors(spool(evidence(docs, model, host, path, id_col), "evidence"), model.rates)
     return out.withColumn("keep", (F.col("p_quality") >= least_quality) & (F.col("p_toxic") < most_toxic))
 
 
