@@ -1,4 +1,9 @@
-"""A pipeline that prepares a corpus: classify, deduplicate, decontaminate, redact, encode. Part of the training-data operators."""
+"""A pipeline that prepares a corpus: classify, deduplicate, decontaminate, redact, encode. Part of the training-data operators.
+
+Defined results: a stage decides on rows, not on ids: rows that repeat an id with other texts, and rows without an id, are documents
+of their own; repeated rows (same id, same text) become one; null and empty texts are kept unless the classifier rejects their source;
+an empty table gives an empty table; columns other than those of documents are dropped.
+"""
 
 from __future__ import annotations
 
@@ -20,32 +25,46 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without those ids: a written table, broadcast if it is small. Rows without an id stay."""
-    gone = few_rows(ids)
-    return _documents(docs.join(gone, docs.doc_id == gone.gone, "left_anti"))
+#: Keys from here on are hashes.
+HASHED = 2**62
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key for each document: its id or, where that is null or comes again, a hash of id and text above all usual ids."""
+    docs = _documents(docs)
+    again = few_rows(spool(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again"), "again"))
+    hashed = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(HASHED - 1)).bitwiseOR(F.lit(HASHED))
+    own = F.when(F.col("doc_id").isNull() | F.col("again").isNotNull(), hashed).otherwise(F.col("doc_id"))
+    return docs.join(again, docs.doc_id == again["again"], "left").select(*COLUMNS, own.alias("key"))
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs of _keyed() without those whose key is in `keys`, one column: written, and broadcast if it is small."""
+    gone = few_rows(spool(keys.toDF("gone").distinct(), "gone"))
+    return docs.join(gone, docs.key == gone.gone, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of low quality and toxic ones go."""
-    found = classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
-    return _without(docs, spool(found.where("not keep and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct(), "rejected"))
+    rows = _keyed(docs)
+    found = classify(rows, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), id_col="key")
+    return _documents(_without(rows, found.where("not keep").select("doc_id")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; repeated rows of it become one."""
-    found = near_components(docs)
-    more = spool(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "copies")
-    kept = _without(docs, more)
-    again = few_rows(spool(kept.where("doc_id is not null").groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again"), "again"))
-    once = kept.join(again, kept.doc_id == again["again"], "left_anti")
-    return once.union(kept.join(again, kept.doc_id == again["again"], "left_semi").dropDuplicates(["doc_id"]))
+    """Of each group of near-duplicates the document with the smallest key stays (one with an id of its own, if there is any); repeated
+    rows become one."""
+    rows = _keyed(docs)
+    found = near_components(rows, id_col="key")
+    kept = _without(rows, found.where("key <> component_id").select("key"))
+    hashed = F.col("key") >= HASHED
+    return _documents(kept.where(~hashed).union(kept.where(hashed).dropDuplicates(["key"])))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold most of a benchmark item, in whatever order, go."""
-    found = coverage(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, spool(found.where("doc_id is not null").select(F.col("doc_id").alias("gone")).distinct(), "leaks"))
+    rows = _keyed(docs)
+    return _documents(_without(rows, coverage(rows, table(spark, sf_dir, "benchmark"), id_col="key").select("key")))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
