@@ -44,6 +44,24 @@ def test_awkward_rows(spark, sf, docs, awkward):
     assert p.STAGES[-1][1](spark, stages, sf).count() == len(kept)
 
 
+def test_rows_that_share_an_id(spark, sf):
+    """Rows of one id or of none are documents of their own: an unrelated clean one stays beside a copy, a leak and a repeated row."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    item = duckdb.sql(f"SELECT text FROM '{sf}/benchmark.parquet' ORDER BY length(text) DESC LIMIT 1").fetchall()[0][0]
+    a, b, c, d = (prose(60) for _ in range(4))
+    rows = [(1, a), (2, a + " x"), (2, b), (3, c), (3, item), (None, a), (None, d), (None, d), (None, item), (4, b), (5, d + " y"), (6, None), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = p.near_duplicates(spark, docs, sf)
+    kept = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    left = kept(near)
+    once = [(i, t) for i, t in left if t != item]
+    assert once == sorted([(1, a), (3, c), (4, b), (5, d + " y"), (6, None)], key=repr) and [t for _, t in left].count(item) == 1
+    assert kept(p.decontaminate(spark, near, sf)) == once
+    whole = kept(p.decontaminate(spark, docs, sf))
+    assert whole == sorted(((i, t) for i, t in rows if t != item), key=repr)
+
+
 def test_run_like_brute_force(spark, tmp_path, docs):
     """run() on a small table against each stage done plainly; what the classifier keeps is taken from the classifier."""
     rng = random.Random(21)
