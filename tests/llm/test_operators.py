@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables, and on nulls, empty, long, equal and repeated texts."""
 
 import hashlib
+import pathlib
 import random
 import re
 import time
@@ -13,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, decontaminate, html_text, jaccard, neighbours, packing, quality, repeats, secrets, token_counts, trigrams
+from quillspark.llm import base, bpe, decontaminate, html_text, jaccard, neighbours, packing, quality, repeats, secrets, shingles, token_counts, trigrams
 from quillspark.llm.packing import tokenizer
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -244,6 +245,69 @@ def test_components_of_repeated_ids(docs, seed):
     assert {r.doc_id: r.component_id for r in jaccard.near_components(docs(rows)).collect()} == want
 
 
+def test_components_beyond_broadcasts(docs, monkeypatch):
+    """Texts are not shuffled where there are more ids than are broadcast, and repeated ids come out alike."""
+    monkeypatch.setattr(base, "BROADCAST_ROWS", 0)
+    rows = near_copies()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_components(docs(rows)).collect()} == brute_components(rows)
+    test_components_of_repeated_ids(docs, 2)
+
+
+def test_rows_that_hold_ids(spark, monkeypatch):
+    ids, rows = spark.range(0, 300_000, 7).toDF("i"), spark.range(-1000, 300_000).select(F.col("id").alias("doc_id")).union(spark.sql("SELECT CAST(NULL AS LONG)"))
+    want = {r.i for r in ids.collect()}
+    assert {r.doc_id for r in base.holding(rows, "doc_id", ids).collect()} == want
+    monkeypatch.setattr(base, "BROADCAST_ROWS", 10)
+    found = base.holding(rows, "doc_id", base.spool(ids, "ids"))
+    got = [r.doc_id for r in found.collect()]
+    assert want <= set(got) and len(got) == len(set(got)) < 1.5 * len(want) and None not in got
+    assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
+
+
+def test_squeezed_numbers():
+    for x in ([], [5], [-3, -3, -3], [0, 1, 300, 70_000], [-(2**63), 0, 2**63 - 1], [2**62 + 5, 2**62 + 9, 2**63 - 1]):
+        assert shingles.expand(shingles.squeeze(np.array(x, np.int64), steps=True), steps=True).tolist() == x
+        assert shingles.expand(shingles.squeeze(np.array(x[::-1], np.int64))).tolist() == x[::-1]
+
+
+def test_an_exchange_is_as_large_with_many_buckets():
+    """What a hash takes doesn't grow with the number of buckets, though a document then has one hash in each: 4 bytes, and 2 for which document."""
+    rng = np.random.default_rng(8)
+    for buckets in (64, 4096):
+        packer = shingles.Packer(buckets)
+        for i in range(2000):
+            packer.add(i, 0, np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64)))
+        rows, _ = packer.drain()
+        assert sum(len(b) for c, column in rows.items() if c != "bucket" for b in column) < 8 * 2000 * 300
+
+
+def spooled(spark):
+    """Bytes of written tables."""
+    top = pathlib.Path(base.shared_dir(spark).removeprefix("file://"))
+    return sum(p.stat().st_size for p in top.rglob("*.parquet"))
+
+
+def shuffles(spark):
+    names = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {x for x in names if "/shuffle_" in x}
+
+
+def test_disk_of_components(spark, docs):
+    """Sets of shingles are no longer on disk when the components are there, nor the shuffle files of what has been written."""
+    rng = random.Random(6)
+    words = ["w%d" % rng.randrange(10**6) for _ in range(2000)]
+    rows = [(i, " ".join("x%d" % rng.randrange(10**6) if rng.random() < 0.01 else w for w in words)) for i in range(200)]
+    held = spooled(spark)
+    assert jaccard.near_components(docs(rows)).count() == 200
+    assert spooled(spark) - held < 0.05 * sum(len(t) for _, t in rows)
+    files = shuffles(spark)
+    base.spool(spark.range(10_000).groupBy((F.col("id") % 5000).alias("k")).count(), "counts")
+    end = time.time() + 10
+    while (left := shuffles(spark) - files) and time.time() < end:
+        time.sleep(0.1)
+    assert not left
+
+
 def test_components_awkward(docs, awkward, spark):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_components(docs(awkward)).collect()]
     named = {r[0]: r[1:] for r in got if r[0] is not None}
