@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_operators import PATTERN, RANKS, brute_components, brute_spans, brute_tiles
+from test_operators import PATTERN, RANKS, brute_components, brute_spans, brute_tiles, spooled
 
 import corpus_pipeline as p
 from quillspark.llm import registry
@@ -44,6 +44,17 @@ def test_awkward_rows(spark, sf, docs, awkward):
     assert p.STAGES[-1][1](spark, stages, sf).count() == len(kept)
 
 
+def test_disk_of_near_duplicates(spark, sf):
+    """The second stage leaves no sets of shingles on disk."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    texts = [" ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.01 else w for w in words) for _ in range(100)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    held = spooled(spark)
+    assert [r.doc_id for r in p.near_duplicates(spark, docs, sf).collect()] == [0]
+    assert spooled(spark) - held < 0.1 * sum(map(len, texts))
+
+
 def test_rows_that_share_an_id(spark, sf):
     """Rows of one id or of none are documents of their own: an unrelated clean one stays beside a copy, a leak and a repeated row."""
     rng = random.Random(4)
