@@ -25,6 +25,9 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
+#: Bytes of texts that go to an encoder at once (a longer text goes alone): by default it is up to 64 MB, beside all that earlier stages left.
+TEXT_BYTES = 4_000_000
+
 #: Keys from here on are hashes.
 HASHED = 2**62
 
@@ -75,8 +78,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the text that they decode to."""
-    return digest_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Token counts and digests of the ids and of the text that they decode to: written here, so that texts come in small batches."""
+    return spool(digest_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), "encoded", TEXT_BYTES)
 
 
 STAGES = [

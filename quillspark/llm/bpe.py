@@ -32,7 +32,7 @@ from quillspark.llm.base import KEPT, frugal, table, text_rows
 LONG_WORD = 64
 #: Rows of all steps of one recursive query, characters of text for one batch, words of a long text for one slice, and words that are
 #: remembered.
-QUERY_ROWS, BATCH_CHARS, SLICE_WORDS, KEPT_WORDS = 1_500_000, 1_500_000, 100_000, 300_000
+QUERY_ROWS, BATCH_CHARS, SLICE_WORDS, KEPT_WORDS = 1_500_000, 400_000, 100_000, 300_000
 
 #: A row's key g is its word's number and, in the low 8 bits, its position; ng and nt are the key and token of the row behind it.
 _ENCODE = """

@@ -5,12 +5,14 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import PATTERN, RANKS, brute_components, brute_spans, brute_tiles, spooled
 
 import corpus_pipeline as p
 from quillspark.llm import registry
+from quillspark.llm.base import BATCH_BYTES
 from quillspark.llm.packing import tokenizer
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -55,6 +57,17 @@ def test_disk_of_near_duplicates(spark, sf):
     assert spooled(spark) - held < 0.1 * sum(map(len, texts))
 
 
+def test_texts_come_to_the_encoder_in_small_batches(spark, sf, monkeypatch):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    monkeypatch.setattr(p, "digest_documents", lambda docs, *_: docs.select("text").mapInArrow(sizes, "rows long, bytes long"))
+    before = spark.conf.get(BATCH_BYTES)
+    got = p.encode(spark, spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text")), sf).collect()
+    assert sum(r.rows for r in got) == 3000 and max(r.bytes for r in got) <= 1.1 * p.TEXT_BYTES and spark.conf.get(BATCH_BYTES) == before
+
+
 def test_rows_that_share_an_id(spark, sf):
     """Rows of one id or of none are documents of their own: an unrelated clean one stays beside a copy, a leak and a repeated row."""
     rng = random.Random(4)
