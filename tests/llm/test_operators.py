@@ -702,3 +702,19 @@ def test_packing_loses_nothing(docs, awkward, enc, real):
 
 def test_tiktoken_is_the_reference():
     assert isinstance(tokenizer(RANKS, PATTERN), tiktoken.Encoding)
+
+
+def test_join_counts_a_node_that_stays_apart_against_all_at_once():
+    rng = np.random.default_rng(3)
+    base = rng.choice(1 << 40, 60, replace=False).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, int(rng.integers(46, 58)), replace=False), rng.choice(1 << 40, int(rng.integers(0, 6))).astype(np.uint64)])) for _ in range(120)]
+    own = [set(s.tolist()) for s in sets]
+    up = list(range(len(own)))
+    for a in range(len(own)):
+        for b in range(a):
+            both = len(own[a] & own[b])
+            if 100 * both >= 75 * (len(own[a]) + len(own[b]) - both):
+                up = [min(up[a], up[b]) if x in (up[a], up[b]) else x for x in up]
+    join = jaccard.GroupedPrefixJoin(list(range(len(sets))), [len(s) for s in sets], sets, 75).run()
+    assert join.labels() == up
+    assert max(join.asked) <= jaccard.ROW_FROM + 1 and join.row(0) == bytes(100 * len(own[0] & s) >= 75 * len(own[0] | s) for s in own)
