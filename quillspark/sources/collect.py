@@ -1,4 +1,4 @@
-"""Search, fetch and parse as one plan: result pages and batches of ids are partitions that each read where they run."""
+"""Search, fetch and parse as one plan: result pages and batches of ids are dealt to at most MOST_TASKS tasks that read where they run."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -15,13 +16,16 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from quillspark.functions.checkpoints import written
 from quillspark.operators.records import in_request_order, missing_preview
 from quillspark.sources.article_xml import in_band_error, parse_documents
-from quillspark.sources.paged import PAGE, SourceError, fetch_source, rate, search_page
+from quillspark.sources.paged import BATCH, PAGE, SourceError, batches, rate, search_page
 
 log = logging.getLogger(__name__)
 
 #: Parameters that every request has, or has where they are known, and warnings that a collection lists.
 DATABASE, OPTIONAL, MOST_WARNINGS = "pubmed", ("api_key", "email"), 20
 
+#: Tasks of a search, and of its fetches: each reads many pages or batches, one after another, so that tasks don't grow with the input.
+MOST_TASKS = 256
+
 #: A page of the search: (first place, size) -> answer. A batch: (ids) -> answer. Both are sent to the executors.
 Page = Callable[[int, int], str]
 Fetch = Callable[[list[str]], str]
@@ -58,27 +62,32 @@ def cap_notice(total: int, most: int) -> str | None:
 
 @dataclass
 class PagePartition(InputPartition):
+    """Pages from place `start` to before `stop`."""
+
     start: int
-    size: int
+    stop: int
 
 
 def search_source(name: str, page: Page) -> type[DataSource]:
-    """A data source `name` of (start, asked, nth, pmid), a partition for each page; a page without ids gives one row without pmid.
-    Options: first (place of the first record), most (place behind the last), page (records a page)."""
+    """A data source `name` of (start, asked, nth, pmid), a partition for each run of pages; a page without ids gives one row without
+    pmid. Options: first (place of the first record), most (place behind the last), page (records a page)."""
 
     class Reader(DataSourceReader):
         def __init__(self, first: int, most: int, size: int):
-            self.spans = [PagePartition(i, min(size, most - i)) for i in range(first, most, size)]
+            self.first, self.most, self.size = first, most, size
 
         def partitions(self) -> list[InputPartition]:
-            return self.spans or [PagePartition(0, 0)]
+            pages = -(-max(0, self.most - self.first) // self.size)
+            step = self.size * max(1, -(-pages // MOST_TASKS))
+            return [PagePartition(i, min(i + step, self.most)) for i in range(self.first, self.most, step)] or [PagePartition(0, 0)]
 
         def read(self, partition: PagePartition) -> Iterator[tuple]:
-            if partition.size:
-                ids = search_page(page(partition.start, partition.size))[1]
-                yield from ((partition.start, partition.size, n, i) for n, i in enumerate(ids))
+            for start in range(partition.start, partition.stop, self.size):
+                asked = min(self.size, partition.stop - start)
+                ids = search_page(page(start, asked))[1]
+                yield from ((start, asked, n, i) for n, i in enumerate(ids))
                 if not ids:
-                    yield partition.start, partition.size, 0, None
+                    yield start, asked, 0, None
 
     class Search(DataSource):
         @classmethod
@@ -121,9 +130,7 @@ def collect(spark: SparkSession, query: str, count: int, page: Page, fetch: Fetc
     last. Warnings: records that can't be read, ids that didn't come; a notice, if more match than are asked for."""
     total, ids = search(spark, name, page, count, size)
     ids = written(ids, "ids")
-    spark.dataSource.register(fetch_source(f"{name}_fetch", checked(fetch)))
-    wanted = ",".join(r.pmid for r in ids.orderBy("pos").toLocalIterator())  # the data source takes ids as an option; `count` bounds them
-    answers = spark.read.format(f"{name}_fetch").option("ids", wanted).load()
+    answers = fetched(ids, checked(fetch), min(MOST_TASKS, -(-count // BATCH)))
     parsed = written(parse_documents(answers), "parsed")
     rows = parsed.where("record is not null").select((F.col("pos") * 1_000_000 + F.col("nth")).alias("at"), "record.*")
     found, missing = in_request_order(ids, rows, order="at")
@@ -135,6 +142,19 @@ def collect(spark: SparkSession, query: str, count: int, page: Page, fetch: Fetc
     return records, {"query": query, "total_match_count": total, "requested_count": count, "retrieved_count": records.count(), "warnings": warnings, "notice": cap_notice(total, count)}
 
 
+def fetched(ids: DataFrame, fetch: Fetch, tasks: int) -> DataFrame:
+    """(pos, ids, xml): the answers for ids (pos, pmid) in batches of BATCH, in order; each of so many tasks fetches many of them."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for pos, own in zip(pdf["pos"], pdf["own"], strict=True):
+                for n, batch in enumerate(batches([r["pmid"] for r in own])):
+                    yield pd.DataFrame({"pos": [pos * BATCH + n], "ids": [",".join(batch)], "xml": [fetch(batch)]})
+
+    own = ids.withColumn("batch", F.floor(F.col("pos") / BATCH)).repartition(tasks, "batch").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("pos", "pmid"))).alias("own"))
+    return own.select(F.col("batch").alias("pos"), "own").mapInPandas(run, "pos long, ids string, xml string")
+
+
 def checked(fetch: Fetch) -> Fetch:
     """fetch, which fails where the answer says an error."""
 

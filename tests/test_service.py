@@ -160,3 +160,18 @@ def test_progress_and_lines(spark):
     totals = records.job_totals(results).first().asDict()
     assert service.stats_line(totals) == "Stats: auto_accepted=1 validated_flagged=0 needs_review=0 invalid=0 api_fail=1 skipped=0 trunc_warn=1 tokens_in=3 tokens_out=4"
     assert json.loads(service.insights_summary(totals, None, "v", "m"))["stats"]["input_tokens"] == 3
+
+
+def test_tasks_of_a_collection_are_bounded(spark, monkeypatch):
+    """Each page and each batch of ids was a task, and each task got all of them."""
+    ids = [str(i) for i in range(2500)]
+    source = collect.search_source("many", pages_of(ids))
+    reader = source({"first": "0", "most": "100000", "page": "5"}).reader(None)
+    assert len(reader.partitions()) <= collect.MOST_TASKS and sum(p.stop - p.start for p in reader.partitions()) == 100_000
+    monkeypatch.setattr(collect, "MOST_TASKS", 3)
+    xml = lambda i: f"<PubmedArticle><MedlineCitation><PMID>{i}</PMID></MedlineCitation></PubmedArticle>"
+    rows, header = collect.collect(spark, "q", 2400, pages_of(ids), lambda own: f"<S>{''.join(map(xml, own))}</S>", "many", 7)
+    assert [r.pmid for r in rows.orderBy("idx").collect()] == ids[:2400] and header["retrieved_count"] == 2400
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "pos long, pmid string")
+    answers = collect.fetched(frame, lambda own: str(len(own)), 3)
+    assert answers.rdd.getNumPartitions() <= 3 and sorted((r.pos, r.xml) for r in answers.collect()) == [(200 * i, "200" if i < 12 else "100") for i in range(13)]
